@@ -24,7 +24,7 @@ def looks_like_json(raw: Column) -> Column:
 def quote_count_at_least_two(raw: Column) -> Column:
     """Two ``"`` anywhere, found with two scans and no allocation."""
     first = F.instr(raw, '"')
-    return (first > 0) & (F.locate('"', raw, first + 1) > 0)
+    return (first > 0) & (F.call_function("locate", F.lit('"'), raw, first + 1) > 0)
 
 
 def contains_any(raw: Column, words: tuple[str, ...]) -> Column:

@@ -111,3 +111,50 @@ def page_access_lines(pages: DataFrame, source: str = "pages") -> DataFrame:
         F.lit(' HTTP/1.1" 200 '), _s(F.length("html")), F.lit(' "-" "crawler/1"'))
     return pages.select(F.col("page_id").alias("line_id"), raw.alias("raw"),
                         F.lit(source).alias("source"), F.lit(None).cast("string").alias("file_path"))
+
+
+def alias_json_line() -> Column:
+    """JSON lines exercising the alias rules (even / odd event ids)."""
+    even = F.concat(
+        F.lit('{"ts":"'), iso_us(F.col("ts")), F.lit('","time":"bad","msg":"'), F.col("event_type"),
+        F.lit('","log":"L'), _s("user_id"), F.lit('","lvl":"'), level_of(F.col("event_type")),
+        F.lit('","logger":"svc'), _s(F.col("user_id") % 7), F.lit('"}'))
+    odd = F.concat(
+        F.lit('{"message":"'), F.col("event_type"), F.lit('","msg":"m'), _s("user_id"),
+        F.lit('","level":'), _s("user_id"), F.lit(',"source":"s'), _s(F.col("user_id") % 3),
+        F.lit('","time":"'), iso_us(F.col("ts")), F.lit('"}'))
+    return F.when(F.col("event_id") % 2 == 0, even).otherwise(odd)
+
+
+def defaults_json_line() -> Column:
+    """JSON lines with and without their own ``raw`` / ``source`` keys."""
+    even = F.concat(F.lit('{"msg":"'), F.col("event_type"), F.lit('","raw":"R'), _s("event_id"), F.lit('"}'))
+    odd = F.concat(F.lit('{"msg":"'), F.col("event_type"), F.lit('","source":"S'), _s("user_id"), F.lit('"}'))
+    return F.when(F.col("event_id") % 2 == 0, even).otherwise(odd)
+
+
+def syslog_line() -> Column:
+    """RFC 3164 on odd ids, RFC 5424 on even ids."""
+    return F.when(F.col("event_id") % 2 == 1, rfc3164_line()).otherwise(rfc5424_line())
+
+
+def timestamp_text() -> Column:
+    """``events.ts`` written in eight of the accepted timestamp layouts (by ``event_id % 8``)."""
+    ts = F.col("ts")
+    m = F.col("event_id") % 8
+    stamp = F.concat(F.date_format(ts, "MMM"), F.lit(" "), F.lpad(_s(F.dayofmonth(ts)), 2, " "),
+                     F.lit(" "), F.date_format(ts, "HH:mm:ss"))
+    return (F.when(m == 0, iso_us(ts))
+            .when(m == 1, F.concat(F.date_format(ts + F.expr("INTERVAL '5:30' HOUR TO MINUTE"),
+                                                 "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+05:30")))
+            .when(m == 2, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
+            .when(m == 3, F.concat(F.date_format(ts - F.expr("INTERVAL 7 HOURS"), "dd MMM yy HH:mm"),
+                                   F.lit(" -0700")))
+            .when(m == 4, F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS"))
+            .when(m == 5, F.date_format(ts, "yyyy/MM/dd HH:mm:ss"))
+            .when(m == 6, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+            .otherwise(stamp))
+
+
+RENDERERS.update({"alias_json": alias_json_line, "defaults_json": defaults_json_line,
+                  "syslog": syslog_line, "timestamp_text": timestamp_text})
