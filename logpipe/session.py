@@ -43,6 +43,7 @@ def get_spark(master: str | None = None, app_name: str = "logpipe",
     conf = {
         **REQUIRED_CONF,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
