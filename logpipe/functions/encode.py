@@ -46,14 +46,51 @@ def sorted_map(m: Column) -> Column:
     return F.map_from_entries(entries)
 
 
+def _object_inner(obj_json: Column) -> Column:
+    """``{...}`` -> ``...`` with one pass over the text."""
+    return F.regexp_replace(obj_json, r"^\{|\}\z", "")
+
+
+def _any_not_null(cols: list[Column]) -> Column:
+    cond = F.lit(False)
+    for c in cols:
+        cond = cond | c.isNotNull()
+    return cond
+
+
 def event_json(extra: dict[str, Column] | None = None) -> Column:
-    """Compact JSON of the whole event, keys sorted."""
-    return F.to_json(sorted_map(event_map(extra)))
+    """Compact JSON of the whole event, keys sorted at every level.
+
+    Built without lambda functions (which run interpreted): the non-NULL
+    promoted columns (``to_json`` drops NULL fields) and ``attrs`` are
+    serialised once each and spliced, lowest precedence first; one
+    ``parse_json`` then keeps the last duplicate (a promoted column wins over
+    the same key in ``attrs``) and a VARIANT object renders its keys sorted.
+    Emptiness is decided from the inputs, never by re-reading the text.
+    """
+    promoted_cols = [F.col(n) for n, _ in EVENT_COLUMNS]
+    promoted = F.to_json(F.struct(*[
+        (format_rfc3339(F.col(n)) if t == "timestamp" else F.col(n)).alias(n) for n, t in EVENT_COLUMNS]))
+    has_attrs = F.size(F.col(ATTRS)) > 0
+    head_parts = [F.when(has_attrs, _object_inner(F.to_json(F.col(ATTRS))))]
+    has_head = has_attrs
+    if extra:
+        has_extra = _any_not_null(list(extra.values()))
+        head_parts.insert(0, F.when(has_extra, _object_inner(
+            F.to_json(F.struct(*[v.alias(k) for k, v in extra.items()])))))
+        has_head = has_head | has_extra
+    has_promoted = _any_not_null(promoted_cols)
+    # the promoted object's own closing brace closes the spliced object
+    tail = F.when(has_promoted, F.substr(promoted, F.lit(2))).otherwise(F.lit("}"))
+    spliced = F.concat(F.lit("{"), F.concat_ws(",", *head_parts),
+                       F.when(has_head & has_promoted, F.lit(",")).otherwise(F.lit("")), tail)
+    return F.coalesce(F.to_json(F.try_parse_json(spliced)), spliced)
 
 
 def event_json_pretty() -> Column:
     """Indented JSON (Jackson's spacing, not Go's)."""
-    return F.to_json(sorted_map(event_map()), {"pretty": "true"})
+    return F.to_json(F.try_variant_get(F.try_parse_json(event_json()), "$", "map<string,variant>"),
+                     {"pretty": "true"})
 
 
 _STRFTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "j": "DDD"}

@@ -27,6 +27,7 @@ ALIASES: dict[str, tuple[str, ...]] = {
 }
 PROMOTED_JSON_KEYS = ("timestamp", "level", "message", "source", "raw", "host")
 _STAGED = {k: f"_j_{k}" for k in PROMOTED_JSON_KEYS}
+_TS_TEXT = "_j_ts_text"
 
 
 def json_gate(strict_first_byte: bool) -> Column:
@@ -77,8 +78,10 @@ def json_plan(strict_first_byte: bool = False, implied_year=None) -> ParsePlan:
             cond = cond | pres(a)
         return cond
 
+    # The timestamp text gets its own stage: the layout chain reads it many
+    # times inside CASE branches, where Spark does not share subexpressions.
     typed = {
-        _STAGED["timestamp"]: parse_timestamp(string_value(pick("timestamp")), implied_year),
+        _TS_TEXT: string_value(pick("timestamp")),
         _STAGED["level"]: string_value(pick("level")),
         _STAGED["message"]: string_value(pick("message")),
         _STAGED["source"]: F.when(any_present("source"), string_value(pick("source")))
@@ -102,5 +105,6 @@ def json_plan(strict_first_byte: bool = False, implied_year=None) -> ParsePlan:
     values = {k: F.col(v) for k, v in _STAGED.items()}
     values[ATTRS] = attrs
     values[FORMAT] = F.lit("json")
-    return ParsePlan(stages=[{"_j_arr": arr}, {"_j_map": obj}, typed],
+    ts_stage = {_STAGED["timestamp"]: parse_timestamp(F.col(_TS_TEXT), implied_year)}
+    return ParsePlan(stages=[{"_j_arr": arr}, {"_j_map": obj}, typed, ts_stage],
                      ok=m.isNotNull(), values=values)

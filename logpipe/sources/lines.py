@@ -56,7 +56,7 @@ def read_lines(spark: SparkSession, paths, name: str | None = None, *, recursive
     df = df.select(F.col("value").alias(LINE_RAW),
                    source_label(name, clean_name).alias(LINE_SOURCE),
                    F.col("_metadata.file_path").alias(LINE_FILE))
-    return normalise(df)
+    return normalise(balance(df))
 
 
 def strip_newlines(raw: Column) -> Column:
@@ -86,11 +86,30 @@ def limit_length(df: DataFrame, max_length: int | None = DEFAULT_MAX_LINE_LENGTH
 def text_lines(df: DataFrame, text_col: str, source: Column | str, keep: list[str] = ()) -> DataFrame:
     """Split a text column on ``\\n`` into a line table (``line_no`` from 0)."""
     src = F.lit(source) if isinstance(source, str) else source
-    exploded = df.select(*keep, src.alias(LINE_SOURCE),
+    exploded = balance(df).select(*keep, src.alias(LINE_SOURCE),
                          F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", LINE_RAW))
     return normalise(exploded.withColumn(LINE_FILE, F.lit(None).cast("string")))
 
 
+def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an under-split input over the cluster before the costly per-line work.
+
+    A single small file, a parquet file with one row group or a gzip file is
+    one split, so one task would parse all of it.  Only when the input has
+    fewer partitions than ``min_partitions`` (default: the cluster's
+    parallelism) are the lines dealt round-robin; at scale inputs already
+    have far more splits than cores and this is a no-op.
+    """
+    if df.isStreaming:
+        return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # Spark Connect: no RDD view; leave the plan alone
+        return df
+    return df.repartition(target) if current < target else df
+
+
 def fan_in(frames: list[DataFrame]) -> DataFrame:
     """Bag union of several sources (columns matched by name)."""
     if not frames:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logpipe.sources.lines import balance
+
 # Level of each rendered event, by event type.
 EVENT_LEVELS = {"error": "error", "purchase": "warn", "signup": "notice",
                 "click": "info", "view": "debug"}
@@ -96,8 +98,9 @@ RENDERERS = {
 
 def event_lines(events: DataFrame, kind: str, source: str = "events") -> DataFrame:
     """Line table rendered from ``events`` by one of ``RENDERERS``."""
-    return events.select(F.col("event_id").alias("line_id"), RENDERERS[kind]().alias("raw"),
-                         F.lit(source).alias("source"), F.lit(None).cast("string").alias("file_path"))
+    return balance(events).select(
+        F.col("event_id").alias("line_id"), RENDERERS[kind]().alias("raw"),
+        F.lit(source).alias("source"), F.lit(None).cast("string").alias("file_path"))
 
 
 def page_access_lines(pages: DataFrame, source: str = "pages") -> DataFrame:
@@ -109,7 +112,7 @@ def page_access_lines(pages: DataFrame, source: str = "pages") -> DataFrame:
         F.lit("10.0.1."), _s(F.col("page_id") % 256), F.lit(" - - ["),
         F.date_format(ts, "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET '), uri,
         F.lit(' HTTP/1.1" 200 '), _s(F.length("html")), F.lit(' "-" "crawler/1"'))
-    return pages.select(F.col("page_id").alias("line_id"), raw.alias("raw"),
+    return balance(pages).select(F.col("page_id").alias("line_id"), raw.alias("raw"),
                         F.lit(source).alias("source"), F.lit(None).cast("string").alias("file_path"))
 
 
