@@ -1,10 +1,17 @@
 """Delivery batches of at most ``batch_size`` events (bulk and webhook sinks).
 
-Deterministic without a global sort: rows are spread over ``buckets`` by a
-hash of the order key (a hot source is split like any other), numbered
-inside each bucket by the order key, and cut every ``batch_size`` rows.
-The window sort runs per bucket, so its width is set by ``buckets``, not by
-the largest source.
+Two deterministic strategies, neither of which funnels rows through one task:
+
+* ``assign_batches`` (hash): rows are spread over ``buckets`` by a hash of the
+  order key (a hot source is split like any other), numbered inside each
+  bucket and cut every ``batch_size`` rows.  One shuffle; the batch grouping
+  reuses its partitioning.
+* ``assign_global_batches`` (global order): consecutive runs of
+  ``batch_size`` rows in the global order of a unique key, as one ordered
+  buffer would cut them.  Rows are split into key ranges at the key's
+  quantiles, numbered within their range, and offset by the sizes of the
+  preceding ranges; the offset table has one row per range, so
+  broadcasting it is bounded by the partition count.
 """
 
 from __future__ import annotations
@@ -36,6 +43,51 @@ def assign_batches(df: DataFrame, batch_size: int, order_by: list[str],
               .drop("_rn"))
 
 
+def _range_of(col: Column, bounds: list) -> Column:
+    """Index of the range holding ``col``: a balanced CASE tree over sorted bounds (codegen'd)."""
+    def build(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(col <= F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+    return build(0, len(bounds))
+
+
+def assign_global_batches(df: DataFrame, batch_size: int, order_by: list[str],
+                          partitions: int | None = None) -> DataFrame:
+    """Add ``_batch`` = global position div ``batch_size`` and ``_seq``.
+
+    The (unique, numeric or orderable) key's range bounds are its approximate
+    quantiles, computed once: ``partitions - 1`` values, so the list the
+    driver holds is bounded by the partition count, not by the data.  Every
+    later step is a deterministic function of the key, so a recomputed task
+    lands its rows in the same range and position.
+    """
+    if batch_size <= 0:
+        raise ValueError("batch_size must be positive")
+    if len(order_by) != 1:
+        raise ValueError("global batching orders by one unique column")
+    n = max(1, partitions or default_buckets(df))
+    key = F.col(order_by[0])
+    bounds: list = []
+    if n > 1:
+        probs = [i / n for i in range(1, n)]
+        got = df.agg(F.percentile_approx(key, probs, 10000).alias("q")).first()["q"]
+        bounds = sorted(set(v for v in (got or []) if v is not None))
+    ranged = df.withColumn("_range", _range_of(key, bounds))
+    pos = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    ranked = (ranged.withColumn("_pos", pos)
+                    .join(F.broadcast(offsets), "_range")
+                    .withColumn("_rank", F.col("_off") + F.col("_pos")))
+    return (ranked.withColumn(BUCKET, F.lit(0).cast("bigint"))
+                  .withColumn(BATCH, F.floor(F.col("_rank") / F.lit(batch_size)).cast("bigint"))
+                  .withColumn(SEQ, (F.col("_rank") % F.lit(batch_size)).cast("int"))
+                  .drop("_range", "_pos", "_off", "_rank"))
+
+
 def collect_batches(batched: DataFrame, payload_col: str, extra_aggs: list[Column] = ()) -> DataFrame:
     """One row per batch: payloads in order (each group holds at most ``batch_size`` rows)."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(SEQ), F.col(payload_col).alias("p"))))

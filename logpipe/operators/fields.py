@@ -93,9 +93,22 @@ def _strict_typed(v: Column, dtype: str) -> Column:
     raise ValueError(dtype)
 
 
+def without_key(m: Column, key: str) -> Column:
+    """``m`` minus one key, with array functions only (lambdas run interpreted)."""
+    keys, vals = F.map_keys(m), F.map_values(m)
+    pos = F.array_position(keys, F.lit(key)).cast("int")
+    n = F.size(m)
+
+    def cut(arr: Column) -> Column:
+        return F.concat(F.slice(arr, F.lit(1), pos - 1), F.slice(arr, pos + 1, n - pos))
+    return F.when(pos == 0, m).otherwise(F.map_from_arrays(cut(keys), cut(vals)))
+
+
 def without_keys(attrs: Column, keys: list[str]) -> Column:
-    keys_arr = F.array(*[F.lit(k) for k in keys])
-    return F.map_filter(attrs, lambda k, v: ~F.array_contains(keys_arr, k))
+    out = attrs
+    for k in dict.fromkeys(keys):
+        out = without_key(out, k)
+    return out
 
 
 def put(field: str, value: Column, when: Column | None = None) -> dict[str, Column]:
@@ -114,11 +127,11 @@ def put(field: str, value: Column, when: Column | None = None) -> dict[str, Colu
     if top in PROMOTED:
         typed = _strict_typed(value, PROMOTED[top])
         updates[top] = F.when(cond, typed).otherwise(F.col(top))
-        new_attrs = F.when(typed.isNull(), F.map_concat(without_keys(attrs, [top]),
-                                                        F.create_map(F.lit(top), value))) \
-            .otherwise(without_keys(attrs, [top]))
+        new_attrs = F.when(typed.isNull(), F.map_concat(attrs, F.create_map(F.lit(top), value))) \
+            .otherwise(without_key(attrs, top))
     else:
-        new_attrs = F.map_concat(without_keys(attrs, [top]), F.create_map(F.lit(top), value))
+        # the session's LAST_WIN key policy makes this a replace
+        new_attrs = F.map_concat(attrs, F.create_map(F.lit(top), value))
     updates[ATTRS] = F.when(cond, new_attrs).otherwise(attrs)
     return updates
 
@@ -146,14 +159,13 @@ def set_path(obj: Column, keys: list[str], value: Column) -> Column:
     m = _as_object(obj)
     k = keys[0]
     inner = value if len(keys) == 1 else set_path(F.try_element_at(m, F.lit(k)), keys[1:], value)
-    rest = F.map_filter(m, lambda kk, vv: kk != F.lit(k))
-    return F.to_variant_object(F.map_concat(rest, F.create_map(F.lit(k), inner)))
+    return F.to_variant_object(F.map_concat(m, F.create_map(F.lit(k), inner)))
 
 
 def delete_path(obj: Column, keys: list[str]) -> Column:
     m = _as_object(obj)
     k = keys[0]
-    rest = F.map_filter(m, lambda kk, vv: kk != F.lit(k))
+    rest = without_key(m, k)
     if len(keys) == 1:
         return F.to_variant_object(rest)
     child = F.try_element_at(m, F.lit(k))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logpipe.operators.parse_json import json_plan
@@ -21,6 +21,26 @@ def parse_mode(fmt: str | None) -> str:
     return f if f in PARSE_MODES else "auto"
 
 
+_PLANS: dict[tuple, ParsePlan] = {}
+
+
+def cached_plan(spark, fmt: str | None, implied_year=None, tz: str = "UTC") -> ParsePlan:
+    """``plan_for`` built once per driver JVM: its Columns are immutable and reusable,
+    and building one costs hundreds of driver-to-JVM calls."""
+    try:
+        jvm_id = spark.sparkContext.applicationId
+    except Exception:
+        return plan_for(fmt, implied_year, tz)
+    year = implied_year if not isinstance(implied_year, Column) else None
+    if implied_year is not None and year is None:
+        return plan_for(fmt, implied_year, tz)
+    key = (jvm_id, parse_mode(fmt), year, tz)
+    plan = _PLANS.get(key)
+    if plan is None:
+        plan = _PLANS[key] = plan_for(fmt, implied_year, tz)
+    return plan
+
+
 def plan_for(fmt: str | None, implied_year=None, tz: str = "UTC") -> ParsePlan:
     mode = parse_mode(fmt)
     if mode == "json":
@@ -47,4 +67,4 @@ def parse(lines: DataFrame, fmt: str | None = "auto", *, implied_year=None, tz:
     configure(lines.sparkSession)
     if LINE_SOURCE not in lines.columns:
         lines = lines.withColumn(LINE_SOURCE, F.lit(None).cast("string"))
-    return run(lines, plan_for(fmt, implied_year, tz))
+    return run(lines, cached_plan(lines.sparkSession, fmt, implied_year, tz))

@@ -61,6 +61,11 @@ def rename(df: DataFrame, field: str, to: str) -> DataFrame:
             ATTRS: F.when(pres, F.map_concat(fields.without_keys(attrs, [field, to]), moved_attr))
                     .otherwise(attrs),
         })
+    if "." not in field and "." not in to and field not in PROMOTED and to not in PROMOTED:
+        # plain keys of attrs: one projection
+        attrs = F.col(ATTRS)
+        moved = F.map_concat(fields.without_key(attrs, field), F.create_map(F.lit(to), fields.attr(field)))
+        return df.withColumn(ATTRS, F.when(fields.has_attr(field), moved).otherwise(attrs))
     df = df.withColumns({"_mv_value": fields.get_variant(field), "_mv_present": fields.present(field)})
     df = _with(df, fields.delete(field, F.col("_mv_present")))
     df = _with(df, fields.put(to, F.col("_mv_value"), F.col("_mv_present")))

@@ -530,18 +530,16 @@ SQL_O4 = """SELECT event_id AS line_id,
 
 
 def q_o5_webhook(spark, d):
-    batches = webhook_batches(_json_events(spark, d), 50, order_by=["line_id"],
-                              bucket_by=F.pmod(F.col("line_id"), F.lit(8)))
-    return batches.select(big("bucket").alias("bucket"), big("batch").alias("batch"), big("count").alias("count"),
+    batches = webhook_batches(_json_events(spark, d), 50, order_by=["line_id"], global_order=True)
+    return batches.select(big("batch").alias("batch"), big("count").alias("count"),
                           F.col("_first.line_id").alias("first_id"), F.col("_last.line_id").alias("last_id"),
                           big(F.size(F.split("body", '"lvl":')) - 1).alias("events_in_body"))
 
 
-SQL_O5 = """WITH b AS (SELECT event_id, event_id % 8 AS bucket,
-    (row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) - 1) // 50 AS batch FROM events)
-SELECT CAST(bucket AS BIGINT) AS bucket, CAST(batch AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS count,
+SQL_O5 = """WITH b AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 50 AS batch FROM events)
+SELECT CAST(batch AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS count,
   min(event_id) AS first_id, max(event_id) AS last_id, CAST(count(*) AS BIGINT) AS events_in_body
-FROM b GROUP BY bucket, batch"""
+FROM b GROUP BY batch"""
 
 
 # ---------------------------------------------------------------- registry

@@ -7,17 +7,21 @@ Two SQL settings change results and are therefore set by ``configure``:
   parser appends an explicit zone before converting.
 * ``spark.sql.variant.allowDuplicateKeys=true`` — a JSON object with a
   repeated key keeps the last value instead of being rejected.
+* ``spark.sql.mapKeyDedupPolicy=LAST_WIN`` — writing a key that ``attrs``
+  already holds replaces it (Go map assignment) in one ``map_concat``.
 """
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 
@@ -69,6 +73,9 @@ def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
             root = spark.sparkContext.getCheckpointDir()
         except Exception:  # Spark Connect has no SparkContext
             root = None
+    if not root and fallback is None and _is_local(spark):
+        # a single-machine session may keep its checkpoints on this machine
+        fallback = tempfile.mkdtemp(prefix="logpipe-ckpt-")
     if not root:
         if fallback is None:
             raise RuntimeError("spark.checkpoint.dir is not set; pass a shared folder")
@@ -81,5 +88,28 @@ def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
     return root.rstrip("/")
 
 
+def _is_local(spark: SparkSession) -> bool:
+    try:
+        return spark.sparkContext.master.startswith("local")
+    except Exception:
+        return False
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once into the shared checkpoint folder.
+
+    Used where one costly input feeds several branches of a plan; the
+    checkpoint survives executor loss (unlike a local checkpoint).
+    """
+    spark = df.sparkSession
+    root = checkpoint_root(spark)
+    try:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(root)
+    except Exception:
+        pass
+    return df.checkpoint(eager=True)
+
+
 def subdir(root: str, *parts: str) -> str:
     return os.path.join(root, *parts)

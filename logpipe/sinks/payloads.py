@@ -13,7 +13,10 @@ from logpipe.functions.encode import event_json, event_json_pretty, index_name
 from logpipe.functions.scalars import source_or_empty
 from logpipe.functions.timestamps import format_rfc3339
 from logpipe.operators import fields
-from logpipe.operators.batching import BATCH, BUCKET, assign_batches, collect_batches
+from logpipe.session import cut_lineage
+from logpipe.operators.batching import (
+    BATCH, BUCKET, assign_batches, assign_global_batches, collect_batches,
+)
 
 DEFAULT_TOPIC = "logs"
 DEFAULT_BULK_BUFFER = 1000
@@ -57,15 +60,23 @@ def sent_at() -> Column:
 
 def webhook_batches(events: DataFrame, batch_size: int = DEFAULT_WEBHOOK_BATCH,
                     order_by: list[str] | None = None, buckets: int | None = None,
-                    bucket_by: Column | None = None) -> DataFrame:
+                    bucket_by: Column | None = None, global_order: bool = False) -> DataFrame:
     """One row per batch of at most ``batch_size`` events with its envelope text.
 
     ``order_by`` fixes the order inside batches (default: the rendered event
-    itself, so the result is deterministic).
+    itself, so the result is deterministic).  ``global_order=True`` cuts
+    consecutive runs of the global order (``order_by`` must be unique);
+    otherwise rows are batched inside hash buckets.
     """
     rendered = events.withColumn("_event", event_json())
     order = order_by or ["_event"]
-    batched = assign_batches(rendered, batch_size, order, buckets, bucket_by)
+    if global_order:
+        # key quantiles, range sizes and numbering all read the rendered rows:
+        # render once, then cut the lineage
+        rendered = cut_lineage(rendered.select(*dict.fromkeys(order + ["_event"])))
+        batched = assign_global_batches(rendered, batch_size, order, buckets)
+    else:
+        batched = assign_batches(rendered, batch_size, order, buckets, bucket_by)
     first_last = [F.min(F.struct(*[F.col(c) for c in order])).alias("_first"),
                   F.max(F.struct(*[F.col(c) for c in order])).alias("_last")]
     out = collect_batches(batched, "_event", first_last)

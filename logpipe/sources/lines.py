@@ -56,7 +56,8 @@ def read_lines(spark: SparkSession, paths, name: str | None = None, *, recursive
     df = df.select(F.col("value").alias(LINE_RAW),
                    source_label(name, clean_name).alias(LINE_SOURCE),
                    F.col("_metadata.file_path").alias(LINE_FILE))
-    return normalise(balance(df))
+    # text files split by size already; a small file stays one task, in line order
+    return normalise(df)
 
 
 def strip_newlines(raw: Column) -> Column:
