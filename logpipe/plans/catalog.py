@@ -18,7 +18,7 @@ from logpipe.functions.levels import facility_name
 from logpipe.operators import fields
 from logpipe.operators.filters import DropRule, FilterSpec, apply_filter
 from logpipe.operators.parse import parse
-from logpipe.operators.stats import stats, throughput
+from logpipe.operators.stats import stats, stats_by, throughput
 from logpipe.operators.transforms import Transform, apply_transforms
 from logpipe.plans.pipeline import build_from_lines
 from logpipe.plans.spec import PipelineSpec, SourceSpec
@@ -292,6 +292,25 @@ SQL_P12 = f"""SELECT event_id AS line_id,
   CASE WHEN event_id % 4 IN (1, 2) THEN 'value=' || {V} END AS message FROM events"""
 
 
+def q_x12_render(spark, d):
+    from logpipe.functions.encode import event_json
+    return parsed(spark, d, "rfc3164", "syslog").select("line_id", event_json().alias("json"))
+
+
+_RAW3164_SQL = ("'<' || CAST(event_id % 192 AS VARCHAR) || '>' || strftime(ts, '%b') || ' ' || "
+                "lpad(CAST(day(ts) AS VARCHAR), 2, ' ') || ' ' || strftime(ts, '%H:%M:%S') || ' host' || "
+                "CAST(user_id % 10 AS VARCHAR) || ' ' || event_type || "
+                "CASE WHEN event_id % 3 = 0 THEN '' ELSE '[' || CAST(event_id AS VARCHAR) || ']' END || "
+                "': value=' || " + V)
+SQL_X12 = f"""SELECT event_id AS line_id,
+  '{{"facility":' || CAST((event_id % 192) // 8 AS VARCHAR) || ',"host":"host' || CAST(user_id % 10 AS VARCHAR)
+  || '","level":"' || {SEV_SQL} || '","message":"value=' || {V} || '",'
+  || CASE WHEN event_id % 3 = 0 THEN '' ELSE '"pid":' || CAST(event_id AS VARCHAR) || ',' END
+  || '"program":"' || event_type || '","raw":"' || {_RAW3164_SQL} || '","severity":' || CAST(event_id % 8 AS VARCHAR)
+  || ',"source":"events","timestamp":"' || strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.%fZ') || '"}}' AS json
+FROM events"""
+
+
 def q_x1_timestamp(spark, d):
     lines = lines_of(spark, d, "timestamp_text")
     return lines.select("line_id", ts_text(parse_timestamp(F.col("raw"), REFERENCE_YEAR)).alias("ts"))
@@ -462,6 +481,20 @@ SELECT CAST((SELECT count(*) FROM ev) + (SELECT ok FROM docs) AS BIGINT) AS proc
        CAST((SELECT count(*) FILTER (WHERE keep) FROM ev) AS BIGINT) AS kept"""
 
 
+def q_a1_format_counts(spark, d):
+    plan = build_from_lines([(lines_of(spark, d, "mixed"), None)], A1_PIPELINE)
+    out = stats_by(plan.flagged, "format")
+    return out.select("format", big("processed").alias("processed"), big("dropped").alias("dropped"),
+                      big("kept").alias("kept"))
+
+
+SQL_A1F = f"""WITH ev AS (SELECT CASE event_id % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'rfc3164'
+      WHEN 2 THEN 'rfc5424' ELSE 'raw' END AS format,
+    ({_RANK_SQL}) >= 3 AND event_type <> 'purchase' AS keep FROM events)
+SELECT format, CAST(count(*) AS BIGINT) AS processed, CAST(count(*) FILTER (WHERE NOT keep) AS BIGINT) AS dropped,
+  CAST(count(*) FILTER (WHERE keep) AS BIGINT) AS kept FROM ev GROUP BY format"""
+
+
 def q_a2_throughput(spark, d):
     pipeline = PipelineSpec(parse="auto", min_level="warn", reference_year=REFERENCE_YEAR)
     plan = build_from_lines([(lines_of(spark, d, "mixed"), None)], pipeline)
@@ -550,12 +583,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "P6_rfc5424": q_p6_rfc5424, "P7_rfc3164": q_p7_rfc3164, "P7b_priority": q_p7b_priority,
     "P8_access": q_p8_access, "P8c_level": q_p8c_level, "P9_error": q_p9_error,
     "P11_auto": q_p11_auto, "P12_unparsed": q_p12_unparsed, "X1_timestamp": q_x1_timestamp,
+    "X12_render": q_x12_render,
     "F1_include": q_f1_include, "F2_exclude": q_f2_exclude, "F3_min_level": q_f3_min_level,
     "F4_drop": q_f4_drop, "F5_expr": q_f5_expr,
     "T1_add": q_t1_add, "T3_rename": q_t3_rename, "T4_remove": q_t4_remove,
     "T5_remove_regex": q_t5_remove_regex, "T6_path": q_t6_path, "T7_path_write": q_t7_path_write,
     "T8_expr": q_t8_expr,
-    "A1_stats": q_a1_stats, "A2_throughput": q_a2_throughput,
+    "A1_stats": q_a1_stats, "A1_format_counts": q_a1_format_counts, "A2_throughput": q_a2_throughput,
     "O3_bulk": q_o3_bulk, "O4_kafka": q_o4_kafka, "O5_webhook": q_o5_webhook,
     "C1_pipeline": q_c1_pipeline,
 }
@@ -565,12 +599,12 @@ ORACLE_SQL: dict[str, str] = {
     "P2_json": SQL_P2, "P3_alias": SQL_P3, "P4_defaults": SQL_P4,
     "P6_rfc5424": SQL_P6, "P7_rfc3164": SQL_P7, "P7b_priority": SQL_P7B,
     "P8_access": SQL_P8, "P8c_level": SQL_P8C, "P9_error": SQL_P9,
-    "P11_auto": SQL_P11, "P12_unparsed": SQL_P12, "X1_timestamp": SQL_X1,
+    "P11_auto": SQL_P11, "P12_unparsed": SQL_P12, "X1_timestamp": SQL_X1, "X12_render": SQL_X12,
     "F1_include": SQL_F1, "F2_exclude": SQL_F2, "F3_min_level": SQL_F3,
     "F4_drop": SQL_F4, "F5_expr": SQL_F5,
     "T1_add": SQL_T1, "T3_rename": SQL_T3, "T4_remove": SQL_T4,
     "T5_remove_regex": SQL_T5, "T6_path": SQL_T6, "T7_path_write": SQL_T7, "T8_expr": SQL_T8,
-    "A1_stats": SQL_A1, "A2_throughput": SQL_A2,
+    "A1_stats": SQL_A1, "A1_format_counts": SQL_A1F, "A2_throughput": SQL_A2,
     "O3_bulk": SQL_O3, "O4_kafka": SQL_O4, "O5_webhook": SQL_O5,
     "C1_pipeline": SQL_C1,
 }
