@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from logpipe.functions.timestamps import format_rfc3339
 from logpipe.schema import ATTRS, EVENT_COLUMNS
 
+PROMOTED_NAMES = {n for n, _ in EVENT_COLUMNS}
+
 
 def _as_variant(name: str, dtype: str) -> Column:
     col = F.col(name)
@@ -59,32 +61,35 @@ def _any_not_null(cols: list[Column]) -> Column:
 
 
 def event_json(extra: dict[str, Column] | None = None) -> Column:
-    """Compact JSON of the whole event, keys sorted at every level.
-
-    Built without lambda functions (which run interpreted): the non-NULL
-    promoted columns (``to_json`` drops NULL fields) and ``attrs`` are
-    serialised once each and spliced, lowest precedence first; one
-    ``parse_json`` then keeps the last duplicate (a promoted column wins over
-    the same key in ``attrs``) and a VARIANT object renders its keys sorted.
-    Emptiness is decided from the inputs, never by re-reading the text.
+    """Compact JSON of the whole event, without lambda functions.
+
+    The promoted columns form a struct whose fields are in key order, so
+    ``to_json`` (which drops NULL fields) writes them sorted.  A key present in
+    both places holds the same value by construction (the parser copies
+    strings verbatim and every transform writes or removes both), except a
+    JSON ``timestamp``, whose original text is kept; so ``attrs`` wins and
+    the promoted copy is left out.  Non-JSON events (empty ``attrs``) are that
+    struct alone, fully sorted; JSON events are ``attrs`` (key order of the
+    parsed object, later writes appended) followed by the remaining promoted
+    keys.  ``extra`` entries are added only where the key is absent.
     """
-    promoted_cols = [F.col(n) for n, _ in EVENT_COLUMNS]
-    promoted = F.to_json(F.struct(*[
-        (format_rfc3339(F.col(n)) if t == "timestamp" else F.col(n)).alias(n) for n, t in EVENT_COLUMNS]))
-    has_attrs = F.size(F.col(ATTRS)) > 0
-    head_parts = [F.when(has_attrs, _object_inner(F.to_json(F.col(ATTRS))))]
-    has_head = has_attrs
-    if extra:
-        has_extra = _any_not_null(list(extra.values()))
-        head_parts.insert(0, F.when(has_extra, _object_inner(
-            F.to_json(F.struct(*[v.alias(k) for k, v in extra.items()])))))
-        has_head = has_head | has_extra
-    has_promoted = _any_not_null(promoted_cols)
-    # the promoted object's own closing brace closes the spliced object
-    tail = F.when(has_promoted, F.substr(promoted, F.lit(2))).otherwise(F.lit("}"))
-    spliced = F.concat(F.lit("{"), F.concat_ws(",", *head_parts),
-                       F.when(has_head & has_promoted, F.lit(",")).otherwise(F.lit("")), tail)
-    return F.coalesce(F.to_json(F.try_parse_json(spliced)), spliced)
+    attrs = F.col(ATTRS)
+
+    def has(k: str) -> Column:
+        return F.map_contains_key(attrs, k)
+
+    fields = {}
+    for n, t in EVENT_COLUMNS:
+        col = format_rfc3339(F.col(n)) if t == "timestamp" else F.col(n)
+        fields[n] = F.when(has(n), F.lit(None).cast("string" if t == "timestamp" else t)).otherwise(col)
+    for k, v in (extra or {}).items():
+        taken = has(k) if k not in PROMOTED_NAMES else (has(k) | F.col(k).isNotNull())
+        fields[k] = F.when(taken, F.lit(None)).otherwise(v)
+    struct_json = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+    struct_filled = _any_not_null(list(fields.values()))
+    tail = F.when(struct_filled, F.concat(F.lit(","), F.substr(struct_json, F.lit(2)))).otherwise(F.lit("}"))
+    merged = F.concat(F.regexp_replace(F.to_json(attrs), r"\}\z", ""), tail)
+    return F.when(F.size(attrs) > 0, merged).otherwise(struct_json)
 
 
 def event_json_pretty() -> Column:

@@ -78,16 +78,20 @@ def json_plan(strict_first_byte: bool = False, implied_year=None) -> ParsePlan:
             cond = cond | pres(a)
         return cond
 
-    # The timestamp text gets its own stage: the layout chain reads it many
+    # Alias resolution first (VARIANT values), then the typed conversions read
+    # those columns: each stage stays small enough for the JIT, and the
+    # timestamp text gets its own stage because the layout chain reads it many
     # times inside CASE branches, where Spark does not share subexpressions.
+    picked = {f"_jv_{k}": (pick(k) if k in ALIASES else get(k)) for k in PROMOTED_JSON_KEYS}
+    pv = {k: F.col(f"_jv_{k}") for k in PROMOTED_JSON_KEYS}
     typed = {
-        _TS_TEXT: string_value(pick("timestamp")),
-        _STAGED["level"]: string_value(pick("level")),
-        _STAGED["message"]: string_value(pick("message")),
-        _STAGED["source"]: F.when(any_present("source"), string_value(pick("source")))
+        _TS_TEXT: string_value(pv["timestamp"]),
+        _STAGED["level"]: string_value(pv["level"]),
+        _STAGED["message"]: string_value(pv["message"]),
+        _STAGED["source"]: F.when(any_present("source"), string_value(pv["source"]))
                             .otherwise(F.col(LINE_SOURCE)),
-        _STAGED["raw"]: F.when(pres("raw"), string_value(get("raw"))).otherwise(raw),
-        _STAGED["host"]: string_value(get("host")),
+        _STAGED["raw"]: F.when(pres("raw"), string_value(pv["raw"])).otherwise(raw),
+        _STAGED["host"]: string_value(pv["host"]),
     }
 
     # attrs: the object verbatim, plus alias copies the promoted column could not hold
@@ -98,7 +102,7 @@ def json_plan(strict_first_byte: bool = False, implied_year=None) -> ParsePlan:
         for a in aliases:
             alias_present = pres(a) if alias_present is None else (alias_present | pres(a))
         cond = (~pres(dst)) & alias_present & F.col(_STAGED[dst]).isNull()
-        extras.append(F.when(cond, F.create_map(F.lit(dst), pick(dst))).otherwise(empty_attrs()))
+        extras.append(F.when(cond, F.create_map(F.lit(dst), pv[dst])).otherwise(empty_attrs()))
         any_extra = cond if any_extra is None else (any_extra | cond)
     attrs = F.when(any_extra, F.map_concat(m, *extras)).otherwise(m)
 
@@ -106,5 +110,5 @@ def json_plan(strict_first_byte: bool = False, implied_year=None) -> ParsePlan:
     values[ATTRS] = attrs
     values[FORMAT] = F.lit("json")
     ts_stage = {_STAGED["timestamp"]: parse_timestamp(F.col(_TS_TEXT), implied_year)}
-    return ParsePlan(stages=[{"_j_arr": arr}, {"_j_map": obj}, typed, ts_stage],
+    return ParsePlan(stages=[{"_j_arr": arr}, {"_j_map": obj}, picked, typed, ts_stage],
                      ok=m.isNotNull(), values=values)
