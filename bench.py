@@ -41,8 +41,10 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
-    spark = get_spark(f"local[{cpus}]", "logpipe-bench", shuffle_partitions=cpus,
-                      extra_conf={"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")})
+    extra = {"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")}
+    if "BENCH_JAVA_OPTS" in os.environ:
+        extra["spark.driver.extraJavaOptions"] = os.environ["BENCH_JAVA_OPTS"]
+    spark = get_spark(f"local[{cpus}]", "logpipe-bench", shuffle_partitions=cpus, extra_conf=extra)
     spark.sparkContext.setLogLevel("ERROR")
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None

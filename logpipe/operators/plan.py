@@ -75,6 +75,23 @@ def choose(branches: list[tuple[Column, dict[str, Value]]], default: dict[str, V
     return out
 
 
+HEAVY = ("_v_timestamp", "_v_attrs")
+CHUNK = 6
+
+
+def _chunks(computed: dict[str, Column]) -> list[dict[str, Column]]:
+    """Split the value projection so each generated method stays JIT-sized.
+
+    Whole-stage codegen gives each operator's row handling its own method;
+    one stage per heavy value (timestamp layouts, attrs) and small groups
+    for the rest keep every method under the JIT's huge-method limit.
+    """
+    out = [{k: computed[k]} for k in HEAVY if k in computed]
+    rest = [k for k in computed if k not in HEAVY]
+    out += [{k: computed[k] for k in rest[i:i + CHUNK]} for i in range(0, len(rest), CHUNK)]
+    return out
+
+
 def run(df: DataFrame, plan: ParsePlan) -> DataFrame:
     """Lines -> events: stages as Generate nodes, then one projection."""
     carry = carry_columns(df)
@@ -86,8 +103,12 @@ def run(df: DataFrame, plan: ParsePlan) -> DataFrame:
             cur = stage(cur, keep + staged, st)
             staged += list(st)
     computed = {f"_v_{k}": v for k, v in plan.values.items() if isinstance(v, Column)}
-    if computed:
-        cur = stage(cur, keep, computed)
+    done: list[str] = []
+    for chunk in _chunks(computed):
+        # earlier intermediates stay visible until the last chunk is computed
+        cur = stage(cur, keep + staged + done, chunk)
+        done += list(chunk)
+    cur = cur.select(*keep, *done)
     values = {k: (F.col(f"_v_{k}") if isinstance(v, Column) else F.col(v))
               for k, v in plan.values.items()}
     return event_select(cur, values, carry)

@@ -46,9 +46,6 @@ def get_spark(master: str | None = None, app_name: str = "logpipe",
         builder = builder.master(master)
     conf = {
         **REQUIRED_CONF,
-        # Wide parse expressions compile to large methods; let the JIT compile them.
-        "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
-        "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
