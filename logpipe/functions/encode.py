@@ -40,19 +40,6 @@ def event_map(extra: dict[str, Column] | None = None) -> Column:
     return m
 
 
-def sorted_map(m: Column) -> Column:
-    """Same map with keys in ascending order (Go's ``json.Marshal`` order)."""
-    entries = F.array_sort(F.map_entries(m),
-                           lambda a, b: F.when(a["key"] < b["key"], -1)
-                           .when(a["key"] > b["key"], 1).otherwise(0))
-    return F.map_from_entries(entries)
-
-
-def _object_inner(obj_json: Column) -> Column:
-    """``{...}`` -> ``...`` with one pass over the text."""
-    return F.regexp_replace(obj_json, r"^\{|\}\z", "")
-
-
 def _any_not_null(cols: list[Column]) -> Column:
     cond = F.lit(False)
     for c in cols:

@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logpipe.functions.memo import jvm_cached
+
 # Fixed values that must equal the reference for identical results.
 # Level ranks used by the level threshold (higher = more severe); a missing,
 # unknown or non-string level ranks 0.
@@ -47,7 +49,12 @@ RANK_NAMES: tuple[str, ...] = ("debug", "info", "notice", "warn", "error", "crit
 
 
 def _literal_map(d: dict) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(d.items())])
+    key = "map:" + repr(sorted(d.items()))
+    return jvm_cached(key, lambda: F.create_map(*[F.lit(x) for x in chain.from_iterable(d.items())]))
+
+
+def _literal_array(items: tuple) -> Column:
+    return jvm_cached("array:" + repr(items), lambda: F.array(*[F.lit(n) for n in items]))
 
 
 def threshold_rank(min_level: str | None) -> int:
@@ -64,12 +71,12 @@ def level_rank(level: Column) -> Column:
 
 def level_name(rank: Column) -> Column:
     """Canonical level name of a rank (0..6), NULL outside."""
-    return F.try_element_at(F.array(*[F.lit(n) for n in RANK_NAMES]), rank + 1)
+    return F.try_element_at(_literal_array(RANK_NAMES), rank + 1)
 
 
 def severity_level(severity: Column) -> Column:
     """Syslog severity (0..7) -> level name."""
-    return F.try_element_at(F.array(*[F.lit(n) for n in SEVERITY_LEVELS]), severity + 1)
+    return F.try_element_at(_literal_array(SEVERITY_LEVELS), severity + 1)
 
 
 def severity_code(name: Column) -> Column:

@@ -58,11 +58,13 @@ FORMATS = ("json", "rfc5424", "rfc3164", "access", "error", "raw", "unparsed")
 
 
 def empty_attrs() -> Column:
-    return F.create_map().cast(ATTRS_TYPE)
+    from logpipe.functions.memo import jvm_cached
+    return jvm_cached("empty_attrs", lambda: F.create_map().cast(ATTRS_TYPE))
 
 
 def typed_null(name: str) -> Column:
-    return F.lit(None).cast(PROMOTED[name])
+    from logpipe.functions.memo import jvm_cached
+    return jvm_cached("null:" + PROMOTED[name], lambda: F.lit(None).cast(PROMOTED[name]))
 
 
 def carry_columns(df: DataFrame) -> list[str]:

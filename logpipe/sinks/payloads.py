@@ -72,8 +72,14 @@ def webhook_batches(events: DataFrame, batch_size: int = DEFAULT_WEBHOOK_BATCH,
     order = order_by or ["_event"]
     if global_order:
         # key quantiles, range sizes and numbering all read the rendered rows:
-        # render once, then cut the lineage
-        rendered = cut_lineage(rendered.select(*dict.fromkeys(order + ["_event"])))
+        # render once and cut the lineage.  The ranges are a deterministic
+        # function of the key, so without a checkpoint folder the branches
+        # recompute the same rows (slower, same result).
+        rendered = rendered.select(*dict.fromkeys(order + ["_event"]))
+        try:
+            rendered = cut_lineage(rendered)
+        except RuntimeError:
+            pass
         batched = assign_global_batches(rendered, batch_size, order, buckets)
     else:
         batched = assign_batches(rendered, batch_size, order, buckets, bucket_by)

@@ -102,3 +102,18 @@ def test_from_dict_reference_keys():
     assert job.pipeline.parse == "auto" and job.pipeline.drop.value == "debug"
     assert job.pipeline.transforms[1].field == ".env"
     assert job.outputs[0].batch_size == 10 and job.outputs[0].headers == {"X-App-Name": "t"}
+
+
+def test_looks_like_json_and_batch_observation(spark):
+    from logpipe.functions.scalars import looks_like_json
+    from logpipe.operators.stats import observe
+    from logpipe.plans.pipeline import build_from_lines
+    from logpipe.plans.spec import PipelineSpec
+    from helpers import lines_df
+    assert one(spark, looks_like_json(F.lit('  {"a":1}'))) is True
+    assert one(spark, looks_like_json(F.lit("[1]"))) is False
+    plan = build_from_lines([(lines_df(spark, ['{"lvl":"error"}', '{"lvl":"info"}', "x" * 70000]), None)],
+                            PipelineSpec(min_level="warn"))
+    observed, obs = observe(plan.flagged)
+    observed.write.format("noop").mode("overwrite").save()
+    assert obs.get == {"processed": 2, "dropped": 2}
