@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logpipe.functions.encode import event_json
+from logpipe.session import ship_package
 from logpipe.sinks.payloads import bulk_payload
 
 Transport = Callable[[str, str, bytes, dict, float], tuple[int, str]]
@@ -141,6 +142,7 @@ def deliver_webhook(events: DataFrame, url: str, headers: dict | None = None, ba
                     retry_max: int = DEFAULT_RETRY_MAX, transport: Transport = http_transport,
                     sleep: Callable[[float], None] = time.sleep) -> dict:
     """O5 + O8: post every event, ``batch_size`` per request, per task."""
+    ship_package(events.sparkSession)
     sender = webhook_sender(url, headers, batch_size, retry_max, transport, sleep=sleep)
     results = events.select(event_json().alias("value")).mapInPandas(sender, RESULT_SCHEMA)
     return summarise(results)
@@ -154,5 +156,6 @@ def deliver_bulk(events: DataFrame, url: str, index_pattern: str | None = None,
     """O3 + O8: NDJSON bulk requests of ``buffer_size`` events, per task."""
     payload = bulk_payload(events, index_pattern)
     lines = payload.select(F.concat("action", F.lit("\n"), "doc", F.lit("\n")).alias("value"))
+    ship_package(events.sparkSession)
     sender = bulk_sender(url, username, password, buffer_size, retry_max, transport, sleep=sleep)
     return summarise(lines.mapInPandas(sender, RESULT_SCHEMA))
