@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logpipe.functions.encode import event_map
+from logpipe.functions.encode import event_json, event_map
 from logpipe.functions.levels import facility_name
+from logpipe.functions.timestamps import parse_timestamp
 from logpipe.operators import fields
 from logpipe.operators.filters import DropRule, FilterSpec, apply_filter
 from logpipe.operators.parse import parse
@@ -23,9 +24,8 @@ from logpipe.operators.transforms import Transform, apply_transforms
 from logpipe.plans.pipeline import build_from_lines
 from logpipe.plans.spec import PipelineSpec, SourceSpec
 from logpipe.sinks.payloads import bulk_payload, kafka_payload, webhook_batches
-from logpipe.sources.lines import limit_length, text_lines
+from logpipe.sources.lines import fan_in, limit_length, text_lines
 from logpipe.sources.render import event_lines, page_access_lines
-from logpipe.functions.timestamps import parse_timestamp
 
 REFERENCE_YEAR = 2024  # the events tables cover January 2024
 
@@ -110,7 +110,6 @@ SELECT doc_id, line_no, CAST(strlen(raw) AS BIGINT) AS n_bytes FROM dl WHERE raw
 
 
 def q_s7_fan_in(spark, d):
-    from logpipe.sources.lines import fan_in
     docs = doc_lines(spark, d).select("source", F.col("doc_id").alias("id"), F.lit(0).alias("sub"),
                                       "line_no", "raw")
     conv = text_lines(table(spark, d, "conversations"), "text", "conversations",
@@ -293,7 +292,6 @@ SQL_P12 = f"""SELECT event_id AS line_id,
 
 
 def q_x12_render(spark, d):
-    from logpipe.functions.encode import event_json
     return parsed(spark, d, "rfc3164", "syslog").select("line_id", event_json().alias("json"))
 
 
