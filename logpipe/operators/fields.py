@@ -69,8 +69,11 @@ def get_string(field: str) -> Column:
     """Value when it is a string, else NULL (the reference's ``.(string)`` test)."""
     parts = split_path(field)
     if len(parts) == 1 and parts[0] in PROMOTED and PROMOTED[parts[0]] == "string":
-        col = F.col(parts[0])
-        return F.when(col.isNotNull(), col).otherwise(_variant_string(attr(parts[0])))
+        # A string value of a promoted string key always lives in its column
+        # (parse promotes strings; put/rename keep them there), so attrs can
+        # only hold a non-string for it.  Reading the column alone also lets
+        # filters on level/message/raw run before the attrs stage.
+        return F.col(parts[0])
     if len(parts) == 1 and parts[0] in PROMOTED:
         return _variant_string(attr(parts[0])) if parts[0] != "timestamp" else F.when(
             F.col(parts[0]).isNull(), _variant_string(attr(parts[0])))

@@ -101,14 +101,17 @@ def json_plan(strict_first_byte: bool = False, implied_year=None) -> ParsePlan:
         alias_present = None
         for a in aliases:
             alias_present = pres(a) if alias_present is None else (alias_present | pres(a))
-        cond = (~pres(dst)) & alias_present & F.col(_STAGED[dst]).isNull()
+        promoted = F.col("_v_timestamp") if dst == "timestamp" else F.col(_STAGED[dst])
+        cond = (~pres(dst)) & alias_present & promoted.isNull()
         extras.append(F.when(cond, F.create_map(F.lit(dst), pv[dst])).otherwise(empty_attrs()))
         any_extra = cond if any_extra is None else (any_extra | cond)
     attrs = F.when(any_extra, F.map_concat(m, *extras)).otherwise(m)
 
-    values = {k: F.col(v) for k, v in _STAGED.items()}
+    values = {k: F.col(v) for k, v in _STAGED.items() if k != "timestamp"}
+    # the layout chain is a value of its own, computed after the light values
+    # (and read by attrs above as the event's ``_v_timestamp``)
+    values["timestamp"] = parse_timestamp(F.col(_TS_TEXT), implied_year)
     values[ATTRS] = attrs
     values[FORMAT] = F.lit("json")
-    ts_stage = {_STAGED["timestamp"]: parse_timestamp(F.col(_TS_TEXT), implied_year)}
-    return ParsePlan(stages=[{"_j_arr": arr}, {"_j_map": obj}, picked, typed, ts_stage],
+    return ParsePlan(stages=[{"_j_arr": arr}, {"_j_map": obj}, picked, typed],
                      ok=m.isNotNull(), values=values)

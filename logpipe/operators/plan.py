@@ -75,6 +75,8 @@ def choose(branches: list[tuple[Column, dict[str, Value]]], default: dict[str, V
     return out
 
 
+# Heavy values, computed last and in this order (a value may read an earlier one:
+# the JSON attrs reads the parsed timestamp).
 HEAVY = ("_v_timestamp", "_v_attrs")
 CHUNK = 6
 
@@ -83,12 +85,14 @@ def _chunks(computed: dict[str, Column]) -> list[dict[str, Column]]:
     """Split the value projection so each generated method stays JIT-sized.
 
     Whole-stage codegen gives each operator's row handling its own method;
-    one stage per heavy value (timestamp layouts, attrs) and small groups
-    for the rest keep every method under the JIT's huge-method limit.
+    small groups of light values, then one stage per heavy value (timestamp
+    layouts, attrs), keep every method under the JIT's huge-method limit.
+    Light values come first, so a filter on level, message or raw is placed
+    by Catalyst before the heavy stages and dropped lines never pay for them.
     """
-    out = [{k: computed[k]} for k in HEAVY if k in computed]
     rest = [k for k in computed if k not in HEAVY]
-    out += [{k: computed[k] for k in rest[i:i + CHUNK]} for i in range(0, len(rest), CHUNK)]
+    out = [{k: computed[k] for k in rest[i:i + CHUNK]} for i in range(0, len(rest), CHUNK)]
+    out += [{k: computed[k]} for k in HEAVY if k in computed]
     return out
 
 
