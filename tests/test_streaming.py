@@ -84,3 +84,31 @@ def test_flush_trigger_is_shortest_interval():
     job = JobSpec(outputs=(OutputSpec(type="stdout", flush_interval="5 seconds"),
                            OutputSpec(type="webhook", url="u", flush_interval="500 ms")))
     assert flush_trigger(job) == "500 ms"
+
+
+def test_stream_two_sources_file_and_webhook(spark, tmp_dir):
+    from helpers import FakeTransport
+    write(f"{tmp_dir}/s1/a.log", JSON_A)
+    write(f"{tmp_dir}/s2/b.log", SYSLOG_B)
+    out = f"{tmp_dir}/out2"
+    job = JobSpec(sources=(SourceSpec(path=f"{tmp_dir}/s1", name="app", parse="json"),
+                           SourceSpec(path=f"{tmp_dir}/s2", name="sys", parse="syslog")),
+                  pipeline=PipelineSpec(min_level="warn", reference_year=2026),
+                  outputs=(OutputSpec(type="file", url=out),
+                           OutputSpec(type="webhook", url="http://hook", batch_size=4)))
+    transport = FakeTransport(f"{tmp_dir}/hook")
+    q, counters = start_pipeline(spark, job, f"{tmp_dir}/ckpt2", available_now=True,
+                                 transport=transport, sleep=lambda s: None, on_error="count")
+    finish(q, counters)
+    written = read_jsonl(out)
+    sources = sorted({d["source"] for d in written})
+    assert sources == ["app", "sys"]
+    # JSON: 10 warn lines; syslog: severity i % 8 for i in 0..9, ranks >= warn for 0..4 -> 7 lines
+    assert len(written) == 17 and counters.errored == 0
+    posted = []
+    for f in os.listdir(transport.folder):
+        with open(os.path.join(transport.folder, f)) as fh:
+            env = json.loads(fh.read())
+        assert env["count"] <= 4
+        posted += env["events"]
+    assert sorted(e["raw"] for e in posted) == sorted(d["raw"] for d in written)
