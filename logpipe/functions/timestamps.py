@@ -10,6 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The accepted timestamp layouts, tried in this order.
+#   RFC 3339 with fraction, RFC 3339, RFC 1123 with numeric zone, RFC 1123,
+#   RFC 822 with numeric zone, RFC 822, yyyy-MM-ddTHH:mm:ss.SSS with zone,
+#   yyyy-MM-ddTHH:mm:ss.SSSZ, yyyy-MM-dd HH:mm:ss.SSS, yyyy-MM-dd HH:mm:ss,
+#   MMM _d HH:mm:ss (no year), yyyy/MM/dd HH:mm:ss
+# The two RFC 3339 forms and the two zoned ISO forms share one guard below.
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 WEEKDAYS = "Mon|Tue|Wed|Thu|Fri|Sat|Sun"
 
