@@ -190,3 +190,12 @@ def test_pipeline_plan_has_no_shuffle(spark):
                             PipelineSpec(min_level="warn", exclude_regex="x"))
     text = plan.events._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text
+
+
+def test_console_payload_is_indented_json(spark, events, capsys):
+    from logpipe.sinks.outputs import write_console
+    from logpipe.sinks.payloads import console_payload
+    text = console_payload(events).first()["value"]
+    assert "\n" in text and json.loads(text)["lvl"] == "warn"
+    write_console(events, OutputSpec(type="stdout", pretty_rows=2))
+    assert capsys.readouterr().out.count('"lvl"') == 2
