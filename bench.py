@@ -3,7 +3,7 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Each query is executed completely through Spark's ``noop`` sink (every row
-is produced, nothing is collected) and timed best-of-``BENCH_REPEAT``.
+is produced, nothing is collected) and timed best-of-``BENCH_REPEAT`` (default 3).
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def run_once(spark, name, sf_dir) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
     extra = {"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")}
     if "BENCH_JAVA_OPTS" in os.environ:
