@@ -309,6 +309,23 @@ SQL_X12 = f"""SELECT event_id AS line_id,
 FROM events"""
 
 
+def q_p7_rfc3164_re2(spark, d):
+    ev = parsed(spark, d, "rfc3164", "syslog")
+    return ev.select("line_id", "host", "program", big("pid").alias("pid"), "message",
+                     big("facility").alias("facility"))
+
+
+# RE2 oracle: DuckDB renders the same line and extracts the groups with the RE2 pattern.
+_RE3164 = r"^<(\d+)>(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+?)(?:\[(\d+)\])?:\s+(.*)$"
+SQL_P7_RE2 = f"""WITH l AS (SELECT event_id, {_RAW3164_SQL} AS line FROM events)
+SELECT event_id AS line_id, regexp_extract(line, '{_RE3164}', 3) AS host,
+  regexp_extract(line, '{_RE3164}', 4) AS program,
+  CAST(NULLIF(regexp_extract(line, '{_RE3164}', 5), '') AS BIGINT) AS pid,
+  regexp_extract(line, '{_RE3164}', 6) AS message,
+  CAST(CAST(regexp_extract(line, '{_RE3164}', 1) AS BIGINT) // 8 AS BIGINT) AS facility
+FROM l WHERE regexp_matches(line, '{_RE3164}')"""
+
+
 def q_x1_timestamp(spark, d):
     lines = lines_of(spark, d, "timestamp_text")
     return lines.select("line_id", ts_text(parse_timestamp(F.col("raw"), REFERENCE_YEAR)).alias("ts"))
@@ -581,7 +598,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "P6_rfc5424": q_p6_rfc5424, "P7_rfc3164": q_p7_rfc3164, "P7b_priority": q_p7b_priority,
     "P8_access": q_p8_access, "P8c_level": q_p8c_level, "P9_error": q_p9_error,
     "P11_auto": q_p11_auto, "P12_unparsed": q_p12_unparsed, "X1_timestamp": q_x1_timestamp,
-    "X12_render": q_x12_render,
+    "X12_render": q_x12_render, "P7_rfc3164_re2": q_p7_rfc3164_re2,
     "F1_include": q_f1_include, "F2_exclude": q_f2_exclude, "F3_min_level": q_f3_min_level,
     "F4_drop": q_f4_drop, "F5_expr": q_f5_expr,
     "T1_add": q_t1_add, "T3_rename": q_t3_rename, "T4_remove": q_t4_remove,
@@ -597,7 +614,7 @@ ORACLE_SQL: dict[str, str] = {
     "P2_json": SQL_P2, "P3_alias": SQL_P3, "P4_defaults": SQL_P4,
     "P6_rfc5424": SQL_P6, "P7_rfc3164": SQL_P7, "P7b_priority": SQL_P7B,
     "P8_access": SQL_P8, "P8c_level": SQL_P8C, "P9_error": SQL_P9,
-    "P11_auto": SQL_P11, "P12_unparsed": SQL_P12, "X1_timestamp": SQL_X1, "X12_render": SQL_X12,
+    "P11_auto": SQL_P11, "P12_unparsed": SQL_P12, "X1_timestamp": SQL_X1, "X12_render": SQL_X12, "P7_rfc3164_re2": SQL_P7_RE2,
     "F1_include": SQL_F1, "F2_exclude": SQL_F2, "F3_min_level": SQL_F3,
     "F4_drop": SQL_F4, "F5_expr": SQL_F5,
     "T1_add": SQL_T1, "T3_rename": SQL_T3, "T4_remove": SQL_T4,
