@@ -326,6 +326,29 @@ SELECT event_id AS line_id, regexp_extract(line, '{_RE3164}', 3) AS host,
 FROM l WHERE regexp_matches(line, '{_RE3164}')"""
 
 
+def q_p8_access_re2(spark, d):
+    ev = parsed(spark, d, "access", "nginx")
+    return ev.select("line_id", "user", "uri", big("status").alias("status"), big("size").alias("size"), "level")
+
+
+_RAW_ACCESS_SQL = ("'10.0.0.' || CAST(user_id % 256 AS VARCHAR) || ' - u' || CAST(user_id AS VARCHAR) || ' [' || "
+                   "strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000] \"GET /e/' || CAST(event_id AS VARCHAR) || "
+                   "' HTTP/1.1\" ' || CAST(([200,301,404,500])[event_id % 4 + 1] AS VARCHAR) || ' ' || "
+                   "CASE WHEN event_id % 5 = 0 THEN '-' ELSE CAST(event_id AS VARCHAR) END || "
+                   "' \"-\" \"ua/' || CAST(user_id AS VARCHAR) || '\"'")
+_REACC = (r'^(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s+(\S+)"\s+(\d+)\s+(\S+)\s+'
+          r'"([^"]*)"\s+"([^"]*)".*$')
+SQL_P8_RE2 = f"""WITH l AS (SELECT event_id, {_RAW_ACCESS_SQL} AS line FROM events),
+  g AS (SELECT event_id, regexp_extract(line, '{_REACC}', 3) AS "user", regexp_extract(line, '{_REACC}', 6) AS uri,
+               CAST(regexp_extract(line, '{_REACC}', 8) AS BIGINT) AS status,
+               regexp_extract(line, '{_REACC}', 9) AS size_text
+        FROM l WHERE regexp_matches(line, '{_REACC}'))
+SELECT event_id AS line_id, "user", uri, status,
+  CAST(CASE WHEN size_text = '-' THEN 0 ELSE CAST(size_text AS BIGINT) END AS BIGINT) AS size,
+  CASE WHEN status >= 500 THEN 'error' WHEN status >= 400 THEN 'warn' ELSE 'info' END AS level
+FROM g"""
+
+
 def q_x1_timestamp(spark, d):
     lines = lines_of(spark, d, "timestamp_text")
     return lines.select("line_id", ts_text(parse_timestamp(F.col("raw"), REFERENCE_YEAR)).alias("ts"))
@@ -599,6 +622,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "P8_access": q_p8_access, "P8c_level": q_p8c_level, "P9_error": q_p9_error,
     "P11_auto": q_p11_auto, "P12_unparsed": q_p12_unparsed, "X1_timestamp": q_x1_timestamp,
     "X12_render": q_x12_render, "P7_rfc3164_re2": q_p7_rfc3164_re2,
+    "P8_access_re2": q_p8_access_re2,
     "F1_include": q_f1_include, "F2_exclude": q_f2_exclude, "F3_min_level": q_f3_min_level,
     "F4_drop": q_f4_drop, "F5_expr": q_f5_expr,
     "T1_add": q_t1_add, "T3_rename": q_t3_rename, "T4_remove": q_t4_remove,
@@ -615,6 +639,7 @@ ORACLE_SQL: dict[str, str] = {
     "P6_rfc5424": SQL_P6, "P7_rfc3164": SQL_P7, "P7b_priority": SQL_P7B,
     "P8_access": SQL_P8, "P8c_level": SQL_P8C, "P9_error": SQL_P9,
     "P11_auto": SQL_P11, "P12_unparsed": SQL_P12, "X1_timestamp": SQL_X1, "X12_render": SQL_X12, "P7_rfc3164_re2": SQL_P7_RE2,
+    "P8_access_re2": SQL_P8_RE2,
     "F1_include": SQL_F1, "F2_exclude": SQL_F2, "F3_min_level": SQL_F3,
     "F4_drop": SQL_F4, "F5_expr": SQL_F5,
     "T1_add": SQL_T1, "T3_rename": SQL_T3, "T4_remove": SQL_T4,
