@@ -7,10 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logpipe.llm import (decontaminate, langid, linededup, pack, quality, simhash, tokencount,
-                         topk)
+from logpipe.llm import (decontaminate, langid, linededup, pack, quality, simhash, substrings,
+                         tokencount, topk)
 from logpipe.llm.common import table
-from logpipe.llm.sql import LINE_DEDUP_SQL, TOP_K_SQL, DECONTAMINATION_SQL
+from logpipe.llm.sql import DECONTAMINATION_SQL, LINE_DEDUP_SQL, TOP_K_SQL
 
 #: Where the public tokenizer files are; the package that describes them lies there itself.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -30,6 +30,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that 400-byte repeats cover, as digests."""
+    out = substrings.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines whose templates recur."""
     out = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -69,6 +76,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op5_token_counts, op6_language,
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substrings, op3_line_dedup, op5_token_counts, op6_language,
                                    op7_pack, op8_top_k, op9_decontaminate, op10_quality)}
 ORACLE_SQL = {"op3_line_dedup": LINE_DEDUP_SQL, "op8_top_k": TOP_K_SQL, "op9_decontaminate": DECONTAMINATION_SQL}
