@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logpipe.llm import (decontaminate, langid, linededup, pack, quality, simhash, substrings,
-                         tokencount, topk)
+from logpipe.llm import (decontaminate, langid, linededup, pack, passages, quality, simhash,
+                         substrings, tokencount, topk)
 from logpipe.llm.common import table
 from logpipe.llm.sql import DECONTAMINATION_SQL, LINE_DEDUP_SQL, TOP_K_SQL
 
@@ -43,6 +43,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more of all documents that are alike to one elsewhere."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the byte-level vocabulary."""
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -76,6 +81,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_substrings, op3_line_dedup, op5_token_counts, op6_language,
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substrings, op3_line_dedup, op4_passages, op5_token_counts, op6_language,
                                    op7_pack, op8_top_k, op9_decontaminate, op10_quality)}
 ORACLE_SQL = {"op3_line_dedup": LINE_DEDUP_SQL, "op8_top_k": TOP_K_SQL, "op9_decontaminate": DECONTAMINATION_SQL}
