@@ -18,6 +18,7 @@ from logpipe.operators.parse import parse
 from logpipe.operators.stats import KEEP
 from logpipe.operators.transforms import apply_transforms
 from logpipe.plans.spec import JobSpec, PipelineSpec, SourceSpec
+from logpipe.schema import LINE_RAW
 from logpipe.sources.lines import TOO_LONG, fan_in, mark_too_long, read_lines
 
 
@@ -30,7 +31,9 @@ class Plan:
 def flag(lines: DataFrame, pipeline: PipelineSpec, fmt: str | None = None,
          priority: str | None = None, max_line_length: int | None = None) -> DataFrame:
     """Parse and mark each line: ``_too_long`` (S5) and ``_keep``."""
+    # a too-long line reaches the parser as NULL: it is counted, never parsed
     lines = mark_too_long(lines, max_line_length)
+    lines = lines.withColumn(LINE_RAW, F.when(~F.col(TOO_LONG), F.col(LINE_RAW)))
     events = parse(lines, fmt or pipeline.parse, implied_year=pipeline.reference_year,
                    tz=pipeline.time_zone)
     keep = ~F.col(TOO_LONG) & condition(pipeline.filter_spec(), lines.sparkSession)
@@ -58,7 +61,7 @@ def build_from_lines(lines_by_source: list[tuple[DataFrame, SourceSpec | None]],
 def source_lines(spark: SparkSession, src: SourceSpec, stream: bool = False,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     return read_lines(spark, src.path, src.name, recursive=src.recursive, path_glob=src.path_glob,
-                      stream=stream, max_files_per_trigger=max_files_per_trigger)
+                      stream=stream, clean_name=src.clean_name, max_files_per_trigger=max_files_per_trigger)
 
 
 def build(spark: SparkSession, job: JobSpec, stream: bool = False,

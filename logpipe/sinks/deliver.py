@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from logpipe.functions.encode import event_json
 from logpipe.session import ship_package
-from logpipe.sinks.payloads import bulk_payload
+from logpipe.sinks.payloads import bulk_payload, envelope_text
 
 Transport = Callable[[str, str, bytes, dict, float], tuple[int, str]]
 RESULT_SCHEMA = "events long, ok boolean, attempts int, failed_items long, error string"
@@ -41,31 +41,24 @@ def http_transport(method: str, url: str, body: bytes, headers: dict, timeout: f
 
 def send_with_retry(transport: Transport, url: str, body: bytes, headers: dict,
                     retry_max: int = DEFAULT_RETRY_MAX, timeout: float = DEFAULT_TIMEOUT,
-                    sleep: Callable[[float], None] = time.sleep,
-                    check: Callable[[int, str], str | None] | None = None) -> tuple[bool, int, str | None, str]:
+                    sleep: Callable[[float], None] = time.sleep) -> tuple[bool, int, str | None, str]:
     """Attempts 0..retry_max, sleeping 2^attempt s before each retry; status >= 400 fails.
 
     Returns ``(ok, attempts, error, last_reply_text)``.
     """
     last_err, text = None, ""
-    attempts = 0
     for attempt in range(retry_max + 1):
         if attempt > 0:
             sleep(float(2 ** attempt))
-        attempts += 1
         try:
             status, text = transport("POST", url, body, headers, timeout)
         except Exception as e:  # network error
             last_err = f"{type(e).__name__}: {e}"
             continue
-        if status >= 400:
-            last_err = f"HTTP {status}: {text[:200]}"
-            continue
-        err = check(status, text) if check else None
-        if err is None:
-            return True, attempts, None, text
-        last_err = err
-    return False, attempts, last_err, text
+        if status < 400:
+            return True, attempt + 1, None, text
+        last_err = f"HTTP {status}: {text[:200]}"
+    return False, retry_max + 1, last_err, text
 
 
 def _chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[list[str]]:
@@ -93,22 +86,57 @@ def webhook_sender(url: str, headers: dict | None, batch_size: int, retry_max: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in _chunks(batches, batch_size):
             stamp = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
-            body = ('{"count":%d,"events":[%s],"sent_at":"%s"}' % (len(chunk), ",".join(chunk), stamp)).encode()
+            body = envelope_text(chunk, stamp).encode()
             ok, attempts, err, _ = send_with_retry(transport, url, body, hdrs, retry_max, timeout, sleep)
             yield _result(len(chunk), ok, attempts, 0 if ok else len(chunk), err)
     return run
 
 
-def _bulk_item_errors(status: int, text: str) -> str | None:
+def rejected_items(text: str, n: int) -> tuple[list[int], list[int]]:
+    """(positions worth retrying, positions rejected for good) of a bulk reply to ``n`` items.
+
+    An item may be retried when the server was busy or failed (429, 5xx).
+    """
     try:
         reply = json.loads(text) if text else {}
     except ValueError:
-        return None
-    if isinstance(reply, dict) and reply.get("errors"):
-        failed = sum(1 for item in reply.get("items", [])
-                     for v in (item or {}).values() if isinstance(v, dict) and v.get("error"))
-        return f"bulk: {failed} item(s) rejected"
-    return None
+        return [], []
+    if not isinstance(reply, dict) or not reply.get("errors"):
+        return [], []
+    again, lost = [], []
+    for i, item in enumerate((reply.get("items") or [])[:n]):
+        result = next((v for v in (item or {}).values() if isinstance(v, dict)), {})
+        status = result.get("status")
+        if result.get("error") or isinstance(status, int) and status >= 400:
+            busy = isinstance(status, int) and (status == 429 or status >= 500)
+            (again if busy else lost).append(i)
+    return again, lost
+
+
+def send_bulk(items: list[str], transport: Transport, url: str, headers: dict, retry_max: int,
+              timeout: float = DEFAULT_TIMEOUT,
+              sleep: Callable[[float], None] = time.sleep) -> tuple[int, int, str | None]:
+    """(attempts, items not stored, error): only items that may yet succeed are posted again."""
+    lost, err, waiting = 0, None, items
+    for attempt in range(retry_max + 1):
+        if attempt > 0:
+            sleep(float(2 ** attempt))
+        try:
+            status, text = transport("POST", url, "".join(waiting).encode(), headers, timeout)
+        except Exception as e:  # network error
+            err = f"{type(e).__name__}: {e}"
+            continue
+        if status >= 400:
+            err = f"HTTP {status}: {text[:200]}"
+            continue
+        again, gone = rejected_items(text, len(waiting))
+        lost += len(gone)
+        if again or gone:
+            err = f"bulk: {len(again) + lost} item(s) rejected"
+        waiting = [waiting[i] for i in again]
+        if not waiting:
+            return attempt + 1, lost, err
+    return retry_max + 1, lost + len(waiting), err
 
 
 def bulk_sender(url: str, username: str | None, password: str | None, buffer_size: int,
@@ -122,10 +150,8 @@ def bulk_sender(url: str, username: str | None, password: str | None, buffer_siz
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in _chunks(batches, buffer_size):
-            body = ("".join(chunk)).encode()
-            ok, attempts, err, _ = send_with_retry(transport, endpoint, body, hdrs, retry_max,
-                                                   timeout, sleep, _bulk_item_errors)
-            yield _result(len(chunk), ok, attempts, 0 if ok else len(chunk), err)
+            attempts, failed, err = send_bulk(chunk, transport, endpoint, hdrs, retry_max, timeout, sleep)
+            yield _result(len(chunk), not failed, attempts, failed, err if failed else None)
     return run
 
 

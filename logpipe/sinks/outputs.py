@@ -30,6 +30,7 @@ class OutputSpec:
     index: str | None = None            # elasticsearch index pattern (strftime subset)
     topic: str | None = None            # kafka
     max_records_per_file: int | None = None
+    max_bytes_per_file: int | None = None   # file: a new file before a line would pass this size
     compress: bool = False
     buffer_size: int = 1000             # elasticsearch events per request
     flush_interval: str = "5 seconds"   # micro-batch trigger when streaming
@@ -39,24 +40,53 @@ class OutputSpec:
     password: str | None = None
     compression: str | None = None      # kafka codec
     retry_max: int = 3
-    pretty_rows: int = 20               # stdout rows shown per batch
+
+
+class DeliveryError(RuntimeError):
+    """Some writes failed after all sinks ran; the batch should be replayed."""
 
 
 def write_console(events: DataFrame, spec: OutputSpec, batch_id: int | None = None) -> int:
-    """O1: print indented JSON (a bounded sample per batch: it is a console)."""
-    for row in console_payload(events).take(spec.pretty_rows):
+    """O1: print every event as indented JSON, one partition at a time."""
+    for row in console_payload(events).toLocalIterator(prefetchPartitions=True):
         print(row["value"])
     return 0
 
 
+def _roll_by_bytes(lines: DataFrame, limit: int) -> DataFrame:
+    """Add ``roll``: which of its task's files a line goes to (sizes before compression)."""
+    def run(batches):
+        roll, size = 0, 0
+        for pdf in batches:
+            rolls = []
+            for text in pdf["value"]:
+                n = len(text.encode()) + 1
+                if size and size + n > limit:
+                    roll, size = roll + 1, 0
+                size += n
+                rolls.append(roll)
+            yield pdf.assign(roll=rolls)
+    return lines.mapInPandas(run, "value string, roll int")
+
+
 def write_file(events: DataFrame, spec: OutputSpec, batch_id: int | None = None) -> int:
-    """O2: JSON Lines files under ``spec.url``, rolled by record count, optional gzip."""
-    writer = jsonl_payload(events).write.mode("append")
+    """O2: JSON Lines files under ``spec.url``, rolled by records or bytes, optional gzip.
+
+    A micro-batch has a folder of its own, ``batch_id=<n>``, which a replay of
+    the batch overwrites, so every event is there once.  Without a batch id
+    files are added to what is there.
+    """
+    lines = jsonl_payload(events)
+    if spec.max_bytes_per_file:
+        lines = _roll_by_bytes(lines, int(spec.max_bytes_per_file))
+    writer = lines.write.mode("append" if batch_id is None else "overwrite")
+    if spec.max_bytes_per_file:
+        writer = writer.partitionBy("roll").option("partitionOverwriteMode", "static")
     if spec.max_records_per_file:
         writer = writer.option("maxRecordsPerFile", str(spec.max_records_per_file))
     if spec.compress:
         writer = writer.option("compression", "gzip")
-    writer.text(spec.url)
+    writer.text(spec.url if batch_id is None else f"{spec.url.rstrip('/')}/batch_id={batch_id}")
     return 0
 
 
@@ -115,9 +145,10 @@ def fan_out(events: DataFrame, sinks: list[Sink], batch_id: int | None = None,
             on_error: str = "raise") -> int:
     """Every event to every sink; returns the number of failed writes.
 
-    ``on_error="raise"`` re-raises after all sinks ran (a streaming batch is
-    then replayed from its checkpoint); ``"count"`` only counts (the batch is
-    committed, the failed sink loses it, as in the reference).
+    ``on_error="raise"`` raises after all sinks ran if any write failed,
+    failed HTTP requests included (a streaming batch is then replayed from its
+    checkpoint); ``"count"`` only counts (the batch is committed, the failed
+    sink loses it, as in the reference).
     """
     if len(sinks) > 1:
         events = events.persist(StorageLevel.MEMORY_AND_DISK)
@@ -133,6 +164,6 @@ def fan_out(events: DataFrame, sinks: list[Sink], batch_id: int | None = None,
     finally:
         if len(sinks) > 1:
             events.unpersist()
-    if first_exc is not None and on_error == "raise":
-        raise first_exc
+    if errors and on_error == "raise":
+        raise first_exc or DeliveryError(f"{errors} failed writes")
     return errors

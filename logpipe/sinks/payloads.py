@@ -16,9 +16,10 @@ from logpipe.operators import fields
 from logpipe.operators.batching import (
     BATCH, BUCKET, assign_batches, assign_global_batches, collect_batches,
 )
-from logpipe.session import cut_lineage
 
 DEFAULT_TOPIC = "logs"
+#: The webhook body; names stand for the count, the events' JSON texts and the time.
+ENVELOPE = ('{"count":', "count", ',"events":[', "events", '],"sent_at":"', "sent_at", '"}')
 DEFAULT_BULK_BUFFER = 1000
 DEFAULT_WEBHOOK_BATCH = 50
 
@@ -54,6 +55,12 @@ def kafka_payload(events: DataFrame, topic: str | None = None, keep: list[str] =
                          F.lit(topic or DEFAULT_TOPIC).alias("topic"))
 
 
+def envelope_text(events: list[str], sent_at: str) -> str:
+    """The body that carries these events."""
+    parts = {"count": str(len(events)), "events": ",".join(events), "sent_at": sent_at}
+    return "".join(parts.get(x, x) for x in ENVELOPE)
+
+
 def sent_at() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
@@ -71,23 +78,15 @@ def webhook_batches(events: DataFrame, batch_size: int = DEFAULT_WEBHOOK_BATCH,
     rendered = events.withColumn("_event", event_json())
     order = order_by or ["_event"]
     if global_order:
-        # key quantiles, range sizes and numbering all read the rendered rows:
-        # render once and cut the lineage.  The ranges are a deterministic
-        # function of the key, so without a checkpoint folder the branches
-        # recompute the same rows (slower, same result).
         rendered = rendered.select(*dict.fromkeys(order + ["_event"]))
-        try:
-            rendered = cut_lineage(rendered)
-        except RuntimeError:
-            pass
         batched = assign_global_batches(rendered, batch_size, order, buckets)
     else:
         batched = assign_batches(rendered, batch_size, order, buckets, bucket_by)
     first_last = [F.min(F.struct(*[F.col(c) for c in order])).alias("_first"),
                   F.max(F.struct(*[F.col(c) for c in order])).alias("_last")]
     out = collect_batches(batched, "_event", first_last)
-    envelope = F.concat(F.lit('{"count":'), F.col("count").cast("string"),
-                        F.lit(',"events":['), F.array_join("payloads", ","),
-                        F.lit('],"sent_at":"'), sent_at(), F.lit('"}'))
+    count, events, stamp = F.col("count").cast("string"), F.array_join("payloads", ","), sent_at()
+    parts = {"count": count, "events": events, "sent_at": stamp}
+    envelope = F.concat(*[parts[x] if x in parts else F.lit(x) for x in ENVELOPE])
     return out.select(F.col(BUCKET).alias("bucket"), F.col(BATCH).alias("batch"), "count",
                       "_first", "_last", envelope.alias("body"))

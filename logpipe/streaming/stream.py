@@ -11,11 +11,13 @@
 
 from __future__ import annotations
 
-import time
+import re
+import threading
 from dataclasses import dataclass, field
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from logpipe.operators.stats import counter_columns, throughput
 from logpipe.plans.pipeline import build, output_events
@@ -34,33 +36,73 @@ class Counters:
     dropped: int = 0
     errored: int = 0
     batches: list = field(default_factory=list)
+    listener: "Totals | None" = None
 
     def snapshot(self) -> dict:
         return {"processed": self.processed, "dropped": self.dropped, "errored": self.errored}
 
 
-def _interval_seconds(text: str) -> float:
-    num, _, unit = text.strip().partition(" ")
-    scale = {"ms": 0.001, "millisecond": 0.001, "milliseconds": 0.001, "second": 1, "seconds": 1,
-             "s": 1, "minute": 60, "minutes": 60}.get(unit.strip() or "seconds", 1)
-    return float(num) * scale
+class Totals(StreamingQueryListener):
+    """Adds the observed counts of every micro-batch of one query, however many there are."""
 
+    def __init__(self, counters: Counters, name: str = STATS_NAME):
+        self.counters, self.name = counters, name
+        self.streams = None             # the manager it is registered with
+        self.run_id: str | None = None
+        self.early: list = []           # progress that came before the run id was known
+        self.lock = threading.Lock()
+        self.ended = threading.Event()
 
-def flush_trigger(job: JobSpec) -> str:
-    """The shortest flush interval of the outputs."""
-    intervals = [o.flush_interval for o in job.outputs if o.flush_interval]
-    return min(intervals, key=_interval_seconds) if intervals else "5 seconds"
+    def watch(self, query: StreamingQuery) -> None:
+        with self.lock:
+            self.run_id = str(query.runId)
+            early, self.early = self.early, []
+        for run_id, counts in early:
+            self._add(run_id, counts)
+
+    def _add(self, run_id: str, counts: dict | None) -> None:
+        with self.lock:
+            if self.run_id is None:
+                self.early.append((run_id, counts))
+            elif run_id == self.run_id:
+                if counts is None:
+                    self.ended.set()
+                else:
+                    self.counters.processed += counts["processed"]
+                    self.counters.dropped += counts["dropped"]
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            self._add(str(event.progress.runId), {k: int(row[k] or 0) for k in ("processed", "dropped")})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._add(str(event.runId), None)
+
+
+_UNITS_MS = {"ms": 1, "millisecond": 1, "milliseconds": 1, "s": 1000, "second": 1000, "seconds": 1000,
+             "m": 60_000, "minute": 60_000, "minutes": 60_000, "h": 3_600_000, "hour": 3_600_000,
+             "hours": 3_600_000}
 
 
-def observed_counts(query: StreamingQuery, name: str = STATS_NAME) -> list[dict]:
-    out = []
-    for p in query.recentProgress:
-        m = (p.get("observedMetrics") or {}).get(name) if isinstance(p, dict) else None
-        if m is None and not isinstance(p, dict):
-            m = (getattr(p, "observedMetrics", None) or {}).get(name)
-        if m is not None:
-            out.append({k: m[k] for k in ("processed", "dropped")})
-    return out
+def interval_ms(text: str) -> int:
+    """Milliseconds of ``5s``, ``1m30s``, ``500ms`` or ``5 seconds``."""
+    parts = re.findall(r"(\d+(?:\.\d+)?)\s*([a-z]+)", text.strip().lower())
+    if not parts or any(unit not in _UNITS_MS for _, unit in parts):
+        raise ValueError(f"not an interval: {text!r}")
+    return round(sum(float(n) * _UNITS_MS[unit] for n, unit in parts))
+
+
+def flush_trigger(job: JobSpec) -> str:
+    """The shortest flush interval of the outputs."""
+    intervals = [interval_ms(o.flush_interval) for o in job.outputs if o.flush_interval]
+    return f"{min(intervals, default=5000)} milliseconds"
 
 
 def start_pipeline(spark: SparkSession, job: JobSpec, checkpoint: str | None = None, *,
@@ -88,25 +130,36 @@ def start_pipeline(spark: SparkSession, job: JobSpec, checkpoint: str | None = N
         writer = writer.trigger(availableNow=True)
     else:
         writer = writer.trigger(processingTime=trigger or flush_trigger(job))
+    counters.listener = Totals(counters)
+    counters.listener.streams = spark.streams
+    spark.streams.addListener(counters.listener)
     query = writer.start()
+    counters.listener.watch(query)
     return query, counters
 
 
 def finish(query: StreamingQuery, counters: Counters, timeout: float | None = None) -> Counters:
-    """Drain what is available, stop, and fold the observed counters in."""
-    if timeout is None:
-        query.processAllAvailable()
-    else:
-        deadline = time.time() + timeout
-        while query.isActive and query.status.get("isDataAvailable") and time.time() < deadline:
-            time.sleep(0.2)
+    """Drain what is available (for at most ``timeout`` seconds), stop, complete the totals."""
+    drain = threading.Thread(target=_drain, args=(query,), daemon=True)
+    drain.start()
+    drain.join(timeout)
     query.stop()
-    for c in observed_counts(query):
-        counters.processed += int(c["processed"])
-        counters.dropped += int(c["dropped"])
+    listener = counters.listener
+    if listener is not None:
+        # the end of a query is reported after all its progress
+        listener.ended.wait(60)
+        listener.streams.removeListener(listener)
+        counters.listener = None
     return counters
 
 
+def _drain(query: StreamingQuery) -> None:
+    try:
+        query.processAllAvailable()
+    except StreamingQueryException:
+        pass  # kept as query.exception()
+
+
 def start_throughput(spark: SparkSession, job: JobSpec, path: str, checkpoint: str | None = None, *,
                      interval: str = "30 seconds", watermark: str = "10 minutes",
                      available_now: bool = False, fmt: str = "parquet") -> StreamingQuery:

@@ -6,7 +6,7 @@ import os
 from logpipe.operators.stats import stats
 from logpipe.plans.pipeline import build
 from logpipe.plans.spec import JobSpec, OutputSpec, PipelineSpec, SourceSpec
-from logpipe.streaming.stream import finish, flush_trigger, start_pipeline, start_throughput
+from logpipe.streaming.stream import finish, flush_trigger, interval_ms, start_pipeline, start_throughput
 
 JSON_A = "\n".join('{"msg":"a%d","lvl":"%s","ts":"2026-04-26T12:00:%02dZ"}' % (i, "warn" if i % 2 else "info", i)
                    for i in range(20)) + "\n"
@@ -83,7 +83,8 @@ def test_throughput_stream_emits_closed_windows(spark, tmp_dir):
 def test_flush_trigger_is_shortest_interval():
     job = JobSpec(outputs=(OutputSpec(type="stdout", flush_interval="5 seconds"),
                            OutputSpec(type="webhook", url="u", flush_interval="500 ms")))
-    assert flush_trigger(job) == "500 ms"
+    assert flush_trigger(job) == "500 milliseconds"
+    assert [interval_ms(x) for x in ("5s", "1m30s", "250ms", "5 seconds")] == [5000, 90000, 250, 5000]
 
 
 def test_stream_two_sources_file_and_webhook(spark, tmp_dir):
