@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logpipe.functions.regexes import user_regex
+from logpipe.functions.regexes import names_matching, user_regex
 from logpipe.operators import fields
 from logpipe.schema import ATTRS, PROMOTED
 
@@ -77,9 +76,8 @@ def remove(df: DataFrame, field: str) -> DataFrame:
     if field.startswith("."):
         spark = df.sparkSession
         java = user_regex(spark, field[1:], "transform.remove")
-        py = re.compile(field[1:])
-        updates = {name: F.lit(None).cast(dtype) for name, dtype in PROMOTED.items()
-                   if py.search(name) and name in df.columns}
+        names = names_matching(spark, java, [n for n in PROMOTED if n in df.columns])
+        updates = {name: F.lit(None).cast(PROMOTED[name]) for name in names}
         updates[ATTRS] = F.map_filter(F.col(ATTRS), lambda k, v: ~k.rlike(java))
         return _with(df, updates)
     return _with(df, fields.delete(field))
