@@ -92,4 +92,4 @@ def facility_name(facility: Column) -> Column:
     first: dict[int, str] = {}
     for name, code in FACILITY_CODES.items():
         first.setdefault(code, name)
-    return F.try_element_at(_literal_map(first), facility)
+    return F.try_element_at(_literal_map(first), facility.try_cast("int"))

@@ -19,15 +19,27 @@ from pyspark.sql import functions as F
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 WEEKDAYS = "Mon|Tue|Wed|Thu|Fri|Sat|Sun"
 
-_ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
-_SPACE = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,9})?$"
-_SLASH = r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,9})?$"
-_RFC1123Z = rf"^({WEEKDAYS}), \d{{2}} ({MONTHS}) \d{{4}} \d{{2}}:\d{{2}}:\d{{2}} [+-]\d{{4}}$"
-_RFC1123 = rf"^({WEEKDAYS}), \d{{2}} ({MONTHS}) \d{{4}} \d{{2}}:\d{{2}}:\d{{2}} [A-Z]{{3,5}}$"
-_RFC822Z = rf"^\d{{2}} ({MONTHS}) \d{{2}} \d{{2}}:\d{{2}} [+-]\d{{4}}$"
-_RFC822 = rf"^\d{{2}} ({MONTHS}) \d{{2}} \d{{2}}:\d{{2}} [A-Z]{{3,5}}$"
-_STAMP = rf"^({MONTHS})  ?\d{{1,2}} \d{{2}}:\d{{2}}:\d{{2}}$"
+_CLOCK = r"\d{1,2}:\d{2}:\d{2}(?:[.,]\d{1,9})?"
+_MON, _DAY = f"(?i:{MONTHS})", f"(?i:{WEEKDAYS})"
+_ISO = rf"^\d{{4}}-\d{{2}}-\d{{2}}T{_CLOCK}(?:Z|[+-]\d{{2}}:\d{{2}})\z"
+_SPACE = rf"^\d{{4}}-\d{{2}}-\d{{2}} +{_CLOCK}\z"
+_SLASH = rf"^\d{{4}}/\d{{2}}/\d{{2}} +{_CLOCK}\z"
+_RFC1123 = rf"^{_DAY}, +\d{{2}} +{_MON} +\d{{4}} +{_CLOCK} +(?:[+-]\d{{4}}|[A-Z]{{3,5}})\z"
+_RFC822 = rf"^\d{{2}} +{_MON} +\d{{2}} +\d{{1,2}}:\d{{2}} +(?:[+-]\d{{4}}|[A-Z]{{3,5}})\z"
+_STAMP = rf"^{_MON} +\d{{1,2}} +{_CLOCK}\z"
+_ACCESS = rf"^\d{{2}}/{_MON}/\d{{4}}:{_CLOCK}(?: +[+-]\d{{4}})?\z"
 _RFC3164_MONTH = rf"^({MONTHS})\s"
+# how a clock with an optional fraction is read
+_READ = "H:mm:ss[.SSSSSSSSS] Z"
+
+
+def _one_blank(s: Column) -> Column:
+    return F.regexp_replace(s, " +", " ")
+
+
+def _zoned(s: Column) -> Column:
+    """A zone abbreviation at the end as +0000."""
+    return F.regexp_replace(s, r" [A-Za-z]+\z", " +0000")
 
 
 def _fmt(s: Column, pattern: str) -> Column:
@@ -51,31 +63,28 @@ def parse_timestamp(s: Column, implied_year=None) -> Column:
     Layouts: RFC 3339 (with or without fraction), RFC 1123 / RFC 1123Z,
     RFC 822 / RFC 822Z, ``yyyy-MM-dd HH:mm:ss[.fff]``, ``MMM _d HH:mm:ss``
     (year implied, NULL when ``implied_year`` is None) and
-    ``yyyy/MM/dd HH:mm:ss``.  Zone abbreviations count as UTC; text without
-    a zone is UTC.  Each layout is guarded by a regex because bare
-    ``try_to_timestamp`` also accepts fragments like ``2026``.
+    ``yyyy/MM/dd HH:mm:ss``.  Any seconds may have a fraction after ``.`` or
+    ``,``, hours may have one digit, names any letter case, and a blank may be
+    a run of them.  Zone abbreviations count as UTC; text without a zone is
+    UTC.  Each layout is guarded by a regex because bare ``try_to_timestamp``
+    also accepts fragments like ``2026``.
     """
-    rest = F.substring(s, 6, 64)  # drop "Mon, "
-    yy = F.substring(s, 8, 2)
-    century = F.when(yy >= F.lit("69"), F.lit("19")).otherwise(F.lit("20"))
-    rfc822_full = F.concat(F.substring(s, 1, 7), century, F.substring(s, 8, 64))
+    dated = _zoned(F.translate(F.initcap(F.substring(_one_blank(s), 6, 64)), ",", "."))  # without "Mon, "
+    short = F.initcap(_one_blank(s))
+    century = F.when(F.substring(short, 8, 2) >= F.lit("69"), F.lit("19")).otherwise(F.lit("20"))
     stamp = (
         F.lit(None).cast("timestamp") if implied_year is None else
-        _fmt(F.concat(_year_col(implied_year).cast("string"), F.lit(" "),
-                      F.regexp_replace(s, " +", " "), F.lit(" +0000")),
-             "yyyy MMM d HH:mm:ss Z")
+        _fmt(F.concat(_year_col(implied_year).cast("string"), F.lit(" "), F.translate(short, ",", "."),
+                      F.lit(" +0000")), f"yyyy MMM d {_READ}")
     )
     return (
-        F.when(s.rlike(_ISO), _iso_cast(s))
-        .when(s.rlike(_RFC1123Z), _fmt(rest, "dd MMM yyyy HH:mm:ss Z"))
-        .when(s.rlike(_RFC1123), _fmt(F.regexp_replace(rest, " [A-Z]+$", " +0000"),
-                                       "dd MMM yyyy HH:mm:ss Z"))
-        .when(s.rlike(_RFC822Z), _fmt(rfc822_full, "dd MMM yyyy HH:mm Z"))
-        .when(s.rlike(_RFC822), _fmt(F.regexp_replace(rfc822_full, " [A-Z]+$", " +0000"),
-                                      "dd MMM yyyy HH:mm Z"))
-        .when(s.rlike(_SPACE), _iso_cast(F.concat(F.translate(s, " ", "T"), F.lit("Z"))))
+        F.when(s.rlike(_ISO), _iso_cast(F.translate(s, ",", ".")))
+        .when(s.rlike(_RFC1123), _fmt(dated, f"dd MMM yyyy {_READ}"))
+        .when(s.rlike(_RFC822), _fmt(_zoned(F.concat(F.substring(short, 1, 7), century, F.substring(short, 8, 64))),
+                                     "dd MMM yyyy H:mm Z"))
+        .when(s.rlike(_SPACE), _iso_cast(F.concat(F.translate(_one_blank(s), " ,", "T."), F.lit("Z"))))
         .when(s.rlike(_STAMP), stamp)
-        .when(s.rlike(_SLASH), _iso_cast(F.concat(F.translate(s, "/ ", "-T"), F.lit("Z"))))
+        .when(s.rlike(_SLASH), _iso_cast(F.concat(F.translate(_one_blank(s), "/ ,", "-T."), F.lit("Z"))))
     )
 
 
@@ -91,14 +100,17 @@ def rfc3164_time(s: Column, year=None, tz: str = "UTC") -> Column:
 
 
 def access_log_time(s: Column) -> Column:
-    """``dd/MMM/yyyy:HH:mm:ss Z``; without an offset the time is UTC."""
+    """``dd/MMM/yyyy:HH:mm:ss Z``; without an offset the time is UTC.  RFC 3339 is accepted, too."""
+    text = F.initcap(F.translate(_one_blank(s), "/,", " ."))
+    text = F.when(s.rlike(r"[+-]\d{4}\z"), text).otherwise(F.concat(text, F.lit(" +0000")))
     return F.coalesce(_fmt(s, "dd/MMM/yyyy:HH:mm:ss Z"),
-                      _fmt(F.concat(s, F.lit(" +0000")), "dd/MMM/yyyy:HH:mm:ss Z"))
+                      F.when(s.rlike(_ACCESS), _fmt(text, f"dd MMM yyyy:{_READ}"))
+                      .when(s.rlike(_ISO), _iso_cast(F.translate(s, ",", "."))))
 
 
 def error_log_time(s: Column) -> Column:
-    """``yyyy/MM/dd HH:mm:ss`` in UTC."""
-    return _fmt(F.concat(s, F.lit(" +0000")), "yyyy/MM/dd HH:mm:ss Z")
+    """``yyyy/MM/dd HH:mm:ss`` in UTC; the blank may be a run of blanks."""
+    return F.when(s.rlike(_SLASH), _iso_cast(F.concat(F.translate(_one_blank(s), "/ ,", "-T."), F.lit("Z"))))
 
 
 def format_rfc3339(ts: Column) -> Column:

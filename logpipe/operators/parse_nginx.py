@@ -25,7 +25,7 @@ def nginx_plan() -> ParsePlan:
     acc, err = F.col("_acc"), F.col("_err")
     access_gate = raw.startswith('"') | quote_count_at_least_two(raw)
     error_gate = contains_any(raw, ERROR_GATE_WORDS)
-    status = F.coalesce(acc[7].try_cast("int"), F.lit(0))
+    status = to_int(acc[7])
     va = {
         "timestamp": access_log_time(acc[3]),
         "host": acc[0], "ident": acc[1], "user": acc[2],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logpipe.functions.levels import severity_level
 from logpipe.functions.regexes import builtin, extract_groups
+from logpipe.functions.scalars import to_int
 from logpipe.functions.timestamps import parse_timestamp, rfc3164_time
 from logpipe.operators.plan import ParsePlan, choose, unparsed_values
 from logpipe.schema import FORMAT, LINE_RAW, LINE_SOURCE
@@ -26,9 +27,9 @@ def syslog_gate() -> Column:
 
 
 def _priority(pri_text: Column) -> dict[str, Column]:
-    pri = F.coalesce(pri_text.try_cast("int"), F.lit(0))
-    severity = pri % 8
-    return {"facility": F.floor(pri / F.lit(8)).cast("int"), "severity": severity,
+    pri = to_int(pri_text)
+    severity = (pri % 8).cast("int")
+    return {"facility": F.shiftright(pri, 3), "severity": severity,
             "level": severity_level(severity)}
 
 

@@ -27,7 +27,7 @@ EVENT_COLUMNS: tuple[tuple[str, str], ...] = (
     # syslog
     ("program", "string"),
     ("pid", "bigint"),
-    ("facility", "int"),
+    ("facility", "bigint"),
     ("severity", "int"),
     ("msgid", "string"),
     ("structured_data", "string"),
@@ -37,7 +37,7 @@ EVENT_COLUMNS: tuple[tuple[str, str], ...] = (
     ("method", "string"),
     ("uri", "string"),
     ("proto", "string"),
-    ("status", "int"),
+    ("status", "bigint"),
     ("size", "bigint"),
     ("referer", "string"),
     ("user_agent", "string"),
