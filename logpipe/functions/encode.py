@@ -40,15 +40,8 @@ def event_map(extra: dict[str, Column] | None = None) -> Column:
     return m
 
 
-def _any_not_null(cols: list[Column]) -> Column:
-    cond = F.lit(False)
-    for c in cols:
-        cond = cond | c.isNotNull()
-    return cond
-
-
 def event_json(extra: dict[str, Column] | None = None) -> Column:
-    """Compact JSON of the whole event, without lambda functions.
+    """Compact JSON of the whole event with sorted keys, without lambda functions.
 
     The promoted columns form a struct whose fields are in key order, so
     ``to_json`` (which drops NULL fields) writes them sorted.  A key present in
@@ -56,9 +49,9 @@ def event_json(extra: dict[str, Column] | None = None) -> Column:
     strings verbatim and every transform writes or removes both), except a
     JSON ``timestamp``, whose original text is kept; so ``attrs`` wins and
     the promoted copy is left out.  Non-JSON events (empty ``attrs``) are that
-    struct alone, fully sorted; JSON events are ``attrs`` (key order of the
-    parsed object, later writes appended) followed by the remaining promoted
-    keys.  ``extra`` entries are added only where the key is absent.
+    struct alone; for the others it joins ``attrs`` in one VARIANT object,
+    which writes its keys sorted at every depth.  ``extra`` entries are added
+    only where the key is absent.
     """
     attrs = F.col(ATTRS)
 
@@ -73,9 +66,8 @@ def event_json(extra: dict[str, Column] | None = None) -> Column:
         taken = has(k) if k not in PROMOTED_NAMES else (has(k) | F.col(k).isNotNull())
         fields[k] = F.when(taken, F.lit(None)).otherwise(v)
     struct_json = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
-    struct_filled = _any_not_null(list(fields.values()))
-    tail = F.when(struct_filled, F.concat(F.lit(","), F.substr(struct_json, F.lit(2)))).otherwise(F.lit("}"))
-    merged = F.concat(F.regexp_replace(F.to_json(attrs), r"\}\z", ""), tail)
+    promoted = F.parse_json(struct_json).cast("map<string,variant>")
+    merged = F.to_json(F.to_variant_object(F.map_concat(promoted, attrs)))
     return F.when(F.size(attrs) > 0, merged).otherwise(struct_json)
 
 

@@ -16,10 +16,13 @@ Two deterministic strategies, neither of which funnels rows through one task:
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET, BATCH, SEQ = "_bucket", "_batch", "_seq"
+_FAN = 16  # branches of a node in the search for a key's range
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -43,45 +46,61 @@ def assign_batches(df: DataFrame, batch_size: int, order_by: list[str],
               .drop("_rn"))
 
 
-def _range_of(col: Column, bounds: list) -> Column:
-    """Index of the range holding ``col``: a balanced CASE tree over sorted bounds (codegen'd)."""
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col <= F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return build(0, len(bounds))
+def _add_range(df: DataFrame, key: str, bounds: list) -> DataFrame:
+    """Add ``_range``: how many of the sorted ``bounds`` are below the key.
+
+    A search tree of ``_FAN`` branches a node: each level counts the node's
+    separators below the key, taken from one literal array per level, so the
+    expressions hardly grow with the number of ranges.
+    """
+    levels = 1
+    while _FAN ** levels <= len(bounds):
+        levels += 1
+    kind = df.schema[key].dataType.simpleString()
+    at = F.lit(0)
+    for level in range(levels):
+        span = _FAN ** (levels - level - 1)  # ranges below each branch
+        places = [node * span * _FAN + j * span - 1 for node in range(_FAN ** level) for j in range(1, _FAN)]
+        text = json.dumps([bounds[p] if p < len(bounds) else None for p in places], default=str)
+        separators = F.from_json(F.lit(text), f"array<{kind}>")
+        below = F.lit(0)
+        for j in range(1, _FAN):
+            above = F.col(key) > F.get(separators, at * (_FAN - 1) + (j - 1))
+            below = below + F.coalesce(above.cast("int"), F.lit(0))
+        df = df.withColumn("_range", at * _FAN + below)
+        at = F.col("_range")
+    return df
 
 
 def assign_global_batches(df: DataFrame, batch_size: int, order_by: list[str],
                           partitions: int | None = None) -> DataFrame:
     """Add ``_batch`` = global position div ``batch_size`` and ``_seq``.
 
-    The (unique, numeric or orderable) key's range bounds are its approximate
-    quantiles, computed once: ``partitions - 1`` values, so the list the
-    driver holds is bounded by the partition count, not by the data.  Every
-    later step is a deterministic function of the key, so a recomputed task
-    lands its rows in the same range and position.
+    The (unique, orderable) key's range bounds are its approximate quantiles,
+    computed once when the plan is built: ``partitions - 1`` values, so the
+    list the driver holds is bounded by the partition count, not by the data.
+    Every later step is a deterministic function of the key, so a recomputed
+    task lands its rows in the same range and position.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
     if len(order_by) != 1:
         raise ValueError("global batching orders by one unique column")
     n = max(1, partitions or default_buckets(df))
-    key = F.col(order_by[0])
+    key = order_by[0]
     bounds: list = []
     if n > 1:
         probs = [i / n for i in range(1, n)]
-        got = df.agg(F.percentile_approx(key, probs, 10000).alias("q")).first()["q"]
+        got = df.agg(F.percentile_approx(key, probs, max(10_000, 20 * n)).alias("q")).first()["q"]
         bounds = sorted(set(v for v in (got or []) if v is not None))
-    ranged = df.withColumn("_range", _range_of(key, bounds))
+    # neighbouring ranges go to neighbouring tasks, about one each
+    ranged = _add_range(df, key, bounds).repartitionByRange(n, "_range")
     pos = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = _add_range(df.select(key), key, bounds).groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    ranked = (ranged.withColumn("_pos", pos)
-                    .join(F.broadcast(offsets), "_range")
-                    .withColumn("_rank", F.col("_off") + F.col("_pos")))
+    ranked = (ranged.withColumn("_pos", pos).join(F.broadcast(offsets), "_range")
+              .withColumn("_rank", F.col("_off") + F.col("_pos")))
     return (ranked.withColumn(BUCKET, F.lit(0).cast("bigint"))
                   .withColumn(BATCH, F.floor(F.col("_rank") / F.lit(batch_size)).cast("bigint"))
                   .withColumn(SEQ, (F.col("_rank") % F.lit(batch_size)).cast("int"))

@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, each with an equivalent DuckDB SQL.
 
-Lines are rendered from the tables by fixed formulas (``logpipe.sources.render``)
+Lines are rendered from the tables by fixed formulas (``logpipe.plans.render``)
 and pushed through the engine; the SQL computes the expected result from the
 original columns, so it shares no parsing logic with the engine.  Outputs
 are flat scalar columns: BIGINT, DOUBLE or STRING; timestamps as text.
@@ -24,8 +24,8 @@ from logpipe.operators.transforms import Transform, apply_transforms
 from logpipe.plans.pipeline import build_from_lines
 from logpipe.plans.spec import PipelineSpec, SourceSpec
 from logpipe.sinks.payloads import bulk_payload, kafka_payload, webhook_batches
-from logpipe.sources.lines import fan_in, limit_length, text_lines
-from logpipe.sources.render import event_lines, page_access_lines
+from logpipe.sources.lines import fan_in, limit_length, source_label, text_lines
+from logpipe.plans.render import event_lines, page_access_lines
 
 REFERENCE_YEAR = 2024  # the events tables cover January 2024
 
@@ -248,8 +248,8 @@ SQL_P8C = """WITH p AS (SELECT page_id, html,
          ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS uri FROM pages)
 SELECT page_id AS line_id,
   strftime(TIMESTAMP '2024-01-01 00:00:00' + page_id * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S.%f') AS ts,
-  uri, CAST(200 AS BIGINT) AS status, CAST(length(html) AS BIGINT) AS size, 'info' AS level,
-  'GET ' || uri AS message FROM p"""
+  uri, CAST(([200, 301, 404, 500])[page_id % 4 + 1] AS BIGINT) AS status, CAST(length(html) AS BIGINT) AS size,
+  (['info', 'info', 'warn', 'error'])[page_id % 4 + 1] AS level, 'GET ' || uri AS message FROM p"""
 
 
 def q_p9_error(spark, d):
@@ -309,6 +309,29 @@ SQL_X12 = f"""SELECT event_id AS line_id,
 FROM events"""
 
 
+def q_x12_json(spark, d):
+    """Whole rendered JSON events: sorted keys, aliases, defaults and the escaped raw line."""
+    return parsed(spark, d, "alias_json", "auto").select("line_id", event_json().alias("json"))
+
+
+_JSON_STR = "CAST(to_json({}) AS VARCHAR)".format
+_USER, _SVC = "CAST(user_id AS VARCHAR)", "CAST(user_id % 7 AS VARCHAR)"
+_ALIAS_RAW_SQL = f"""CASE WHEN event_id % 2 = 0
+  THEN '{{"ts":"' || {ISO_US} || '","time":"bad","msg":"' || event_type || '","log":"L' || {_USER} || '","lvl":"'
+       || {LEVEL_SQL} || '","logger":"svc' || {_SVC} || '"}}'
+  ELSE '{{"message":"' || event_type || '","msg":"m' || {_USER} || '","level":' || {_USER} || ',"source":"s'
+       || CAST(user_id % 3 AS VARCHAR) || '","time":"' || {ISO_US} || '"}}' END"""
+_ALIAS_JSON_SQL = f"""CASE WHEN event_id % 2 = 0
+  THEN '{{"level":"' || {LEVEL_SQL} || '","log":"L' || {_USER} || '","logger":"svc' || {_SVC} || '","lvl":"'
+       || {LEVEL_SQL} || '","message":"' || event_type || '","msg":"' || event_type || '","raw":'
+       || {_JSON_STR(_ALIAS_RAW_SQL)} || ',"source":"svc' || {_SVC} || '","time":"bad","timestamp":"' || {ISO_US}
+       || '","ts":"' || {ISO_US} || '"}}'
+  ELSE '{{"level":' || {_USER} || ',"message":"' || event_type || '","msg":"m' || {_USER} || '","raw":'
+       || {_JSON_STR(_ALIAS_RAW_SQL)} || ',"source":"s' || CAST(user_id % 3 AS VARCHAR) || '","time":"' || {ISO_US}
+       || '","timestamp":"' || {ISO_US} || '"}}' END"""
+SQL_X12_JSON = f"SELECT event_id AS line_id, {_ALIAS_JSON_SQL} AS json FROM events"
+
+
 def q_p7_rfc3164_re2(spark, d):
     ev = parsed(spark, d, "rfc3164", "syslog")
     return ev.select("line_id", "host", "program", big("pid").alias("pid"), "message",
@@ -579,40 +602,143 @@ FROM w GROUP BY ws, level"""
 
 def q_o3_bulk(spark, d):
     payload = bulk_payload(_json_events(spark, d), "logs-%Y.%m.%d", keep=["line_id"])
-    return payload.select("line_id", F.col("_index").alias("index"), "action",
-                          F.get_json_object("doc", "$['@timestamp']").alias("at_timestamp"),
-                          F.get_json_object("doc", "$.msg").alias("msg"))
+    return payload.select("line_id", F.col("_index").alias("index"), "action", "doc")
+
 
+_EVENT_RAW_SQL = f"""'{{"ts":"' || {ISO_US} || '","lvl":"' || {LEVEL_SQL} || '","msg":"' || event_type
+  || '","user_id":' || {_USER} || ',"value":' || {V} || ',"props":' || props || '}}'"""
+# everything between the opening brace and the closing one
+_EVENT_BODY_SQL = f"""'"level":"' || {LEVEL_SQL} || '","lvl":"' || {LEVEL_SQL} || '","message":"' || event_type
+  || '","msg":"' || event_type || '","props":{{"k":' || {K_SQL} || '}},"raw":' || {_JSON_STR(_EVENT_RAW_SQL)}
+  || ',"source":"events","timestamp":"' || {ISO_US} || '","ts":"' || {ISO_US} || '","user_id":' || {_USER}
+  || ',"value":' || regexp_replace({V}, '[.]0$', '') || '}}'"""
 
 SQL_O3 = f"""SELECT event_id AS line_id, 'logs-' || strftime(ts, '%Y.%m.%d') AS index,
   '{{"index":{{"_index":"logs-' || strftime(ts, '%Y.%m.%d') || '"}}}}' AS action,
-  {ISO_US} AS at_timestamp, event_type AS msg FROM events"""
+  '{{"@timestamp":"' || {ISO_US} || '",' || {_EVENT_BODY_SQL} AS doc FROM events"""
 
 
 def q_o4_kafka(spark, d):
-    payload = kafka_payload(parsed(spark, d, "alias_json", "auto"), "logs", keep=["line_id"])
-    return payload.select("line_id", "key", "topic", F.get_json_object("value", "$.message").alias("message"))
+    return kafka_payload(parsed(spark, d, "alias_json", "auto"), "logs", keep=["line_id"])
 
 
-SQL_O4 = """SELECT event_id AS line_id,
+SQL_O4 = f"""SELECT event_id AS line_id,
   CASE WHEN event_id % 2 = 0 THEN 'svc' || CAST(user_id % 7 AS VARCHAR)
        ELSE 's' || CAST(user_id % 3 AS VARCHAR) END AS key,
-  'logs' AS topic, event_type AS message FROM events"""
+  'logs' AS topic, {_ALIAS_JSON_SQL} AS value FROM events"""
 
 
 def q_o5_webhook(spark, d):
     batches = webhook_batches(_json_events(spark, d), 50, order_by=["line_id"], global_order=True)
     return batches.select(big("batch").alias("batch"), big("count").alias("count"),
                           F.col("_first.line_id").alias("first_id"), F.col("_last.line_id").alias("last_id"),
-                          big(F.size(F.split("body", '"lvl":')) - 1).alias("events_in_body"))
+                          F.regexp_replace("body", r'"sent_at":"[^"]*"\}\z', "").alias("body"))
 
 
-SQL_O5 = """WITH b AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 50 AS batch FROM events)
+SQL_O5 = f"""WITH b AS (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 50 AS batch FROM events)
 SELECT CAST(batch AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS count,
-  min(event_id) AS first_id, max(event_id) AS last_id, CAST(count(*) AS BIGINT) AS events_in_body
+  min(event_id) AS first_id, max(event_id) AS last_id,
+  '{{"count":' || CAST(count(*) AS VARCHAR) || ',"events":['
+  || string_agg('{{' || {_EVENT_BODY_SQL}, ',' ORDER BY event_id) || '],' AS body
 FROM b GROUP BY batch"""
 
 
+# ---------------------------------------------------------------- sources, filters and counters on mixed inputs
+
+
+def q_s6_label(spark, d):
+    """Each row labelled with the basename of its own file, as it is and trimmed."""
+    return (table(spark, d, "events").select(source_label(None).alias("label"), source_label(None, True).alias("clean"))
+            .groupBy("label", "clean").agg(F.count(F.lit(1)).alias("n")))
+
+
+SQL_S6 = """SELECT 'events.parquet' AS label, 'events.parquet' AS clean, CAST(count(*) AS BIGINT) AS n
+FROM events HAVING count(*) > 0"""
+
+
+def _two_sources(spark, d, **second):
+    """JSON lines with their own format next to RFC 3164 lines under the pipeline's."""
+    first = SourceSpec(path="json", name="json", parse="json")
+    rest = SourceSpec(path="syslog", name="syslog", **second)
+    return build_from_lines([(lines_of(spark, d, "json"), first), (lines_of(spark, d, "rfc3164"), rest)],
+                            PipelineSpec(parse="syslog", reference_year=REFERENCE_YEAR))
+
+
+def q_s8_source_parse(spark, d):
+    return _two_sources(spark, d, parse="raw").events.select("line_id", "format", "level", "message")
+
+
+SQL_S8 = f"""SELECT event_id AS line_id, 'json' AS format, {LEVEL_SQL} AS level, event_type AS message FROM events
+UNION ALL SELECT event_id, 'raw', NULL, NULL FROM events"""
+
+
+def q_s9_priority(spark, d):
+    return _two_sources(spark, d, priority="warn").events.select("line_id", "format", "level")
+
+
+SQL_S9 = f"""SELECT event_id AS line_id, 'json' AS format, {LEVEL_SQL} AS level FROM events
+UNION ALL SELECT event_id, 'rfc3164', {SEV_SQL} FROM events WHERE ({SEV_RANK_SQL}) >= 3"""
+
+
+def q_f1_posix(spark, d):
+    """POSIX and Perl classes, literal brackets and folding, decided by RE2 on the other side."""
+    pattern = POSIX_RE
+    ev = apply_filter(parse(doc_lines(spark, d), "raw"), FilterSpec(include_regex=pattern))
+    return ev.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("raw")).alias("n_bytes"))
+
+
+POSIX_RE = r"(?i)^[[:alpha:]é&&ü]+[^[:space:]]*\s+.*[.!;[]$"
+SQL_F1_POSIX = f"""WITH {DOC_LINES_SQL}
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(strlen(raw)) AS BIGINT) AS n_bytes
+FROM dl WHERE raw <> '' AND regexp_matches(raw, '{POSIX_RE}') GROUP BY doc_id"""
+
+
+def q_x1_timestamp_forms(spark, d):
+    """Layouts over twelve months in the less usual forms: fractions, short hours, letter case, runs of blanks."""
+    lines = event_lines(table(spark, d, "events"), "timestamp_forms")
+    return lines.select("line_id", ts_text(parse_timestamp(F.col("raw"), REFERENCE_YEAR)).alias("ts"))
+
+
+SQL_X1_FORMS = """WITH t AS (SELECT event_id, CAST(ts AS TIMESTAMP)
+  + to_days(CAST(30 * (event_id % 12) AS INTEGER)) AS ts FROM events)
+SELECT event_id AS line_id, strftime(CASE event_id % 7
+    WHEN 0 THEN date_trunc('second', ts) + INTERVAL 250 MILLISECOND
+    WHEN 1 THEN date_trunc('hour', ts) - hour(ts) * INTERVAL 1 HOUR + INTERVAL 5 HOUR
+    WHEN 2 THEN date_trunc('second', ts) + INTERVAL 500 MILLISECOND
+    WHEN 5 THEN date_trunc('second', ts) + INTERVAL 125 MILLISECOND
+    ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM t"""
+
+
+A2_LIMIT = 112  # bytes; some JSON lines and most document lines are longer
+
+
+def q_a2_throughput_docs(spark, d):
+    """Windows over mixed lines of which some exceed the length limit, and A1's totals beside them."""
+    plan = build_from_lines(
+        [(lines_of(spark, d, "mixed"), SourceSpec(path="mixed", max_line_length=A2_LIMIT)),
+         (doc_lines(spark, d), SourceSpec(path="documents", max_line_length=A2_LIMIT))],
+        PipelineSpec(parse="auto", exclude_regex="signup", reference_year=REFERENCE_YEAR))
+    counts = [big(c).alias(c) for c in ("processed", "dropped", "kept")]
+    windows = throughput(plan.flagged, "30 seconds").select("window_start", "source", *counts)
+    totals = stats(plan.flagged).select(F.lit("all").alias("window_start"), F.lit("all").alias("source"), *counts)
+    return windows.unionByName(totals)
+
+
+SQL_A2_DOCS = f"""WITH {DOC_LINES_SQL},
+  m AS (SELECT event_type = 'signup' AS excluded, {_TS_EFF} AS t,
+               event_id % 4 = 0 AND strlen({_EVENT_RAW_SQL}) > {A2_LIMIT} AS over_long FROM events),
+  w AS (SELECT make_timestamp(CAST(epoch_us(t) // 30000000 * 30000000 AS BIGINT)) AS ws, excluded
+        FROM m WHERE t IS NOT NULL AND NOT over_long),
+  a AS (SELECT excluded, over_long FROM m
+        UNION ALL SELECT contains(raw, 'signup'), strlen(raw) > {A2_LIMIT} FROM dl WHERE raw <> '')
+SELECT strftime(ws, '%Y-%m-%dT%H:%M:%S.%fZ') AS window_start, 'events' AS source,
+  CAST(count(*) AS BIGINT) AS processed, CAST(count(*) FILTER (WHERE excluded) AS BIGINT) AS dropped,
+  CAST(count(*) FILTER (WHERE NOT excluded) AS BIGINT) AS kept FROM w GROUP BY ws
+UNION ALL SELECT 'all', 'all', CAST(count(*) FILTER (WHERE NOT over_long) AS BIGINT),
+  CAST(count(*) FILTER (WHERE over_long OR excluded) AS BIGINT),
+  CAST(count(*) FILTER (WHERE NOT over_long AND NOT excluded) AS BIGINT) FROM a"""
+
+
 # ---------------------------------------------------------------- registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -630,7 +756,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "T8_expr": q_t8_expr,
     "A1_stats": q_a1_stats, "A1_format_counts": q_a1_format_counts, "A2_throughput": q_a2_throughput,
     "O3_bulk": q_o3_bulk, "O4_kafka": q_o4_kafka, "O5_webhook": q_o5_webhook,
-    "C1_pipeline": q_c1_pipeline,
+    "C1_pipeline": q_c1_pipeline, "X12_json": q_x12_json, "S6_label": q_s6_label,
+    "S8_source_parse": q_s8_source_parse, "S9_priority": q_s9_priority, "F1_posix": q_f1_posix,
+    "X1_timestamp_forms": q_x1_timestamp_forms, "A2_throughput_docs": q_a2_throughput_docs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -646,5 +774,7 @@ ORACLE_SQL: dict[str, str] = {
     "T5_remove_regex": SQL_T5, "T6_path": SQL_T6, "T7_path_write": SQL_T7, "T8_expr": SQL_T8,
     "A1_stats": SQL_A1, "A1_format_counts": SQL_A1F, "A2_throughput": SQL_A2,
     "O3_bulk": SQL_O3, "O4_kafka": SQL_O4, "O5_webhook": SQL_O5,
-    "C1_pipeline": SQL_C1,
+    "C1_pipeline": SQL_C1, "X12_json": SQL_X12_JSON, "S6_label": SQL_S6,
+    "S8_source_parse": SQL_S8, "S9_priority": SQL_S9, "F1_posix": SQL_F1_POSIX,
+    "X1_timestamp_forms": SQL_X1_FORMS, "A2_throughput_docs": SQL_A2_DOCS,
 }

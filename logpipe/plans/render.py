@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logpipe.sources.lines import balance
 
 # Level of each rendered event, by event type.
 EVENT_LEVELS = {"error": "error", "purchase": "warn", "signup": "notice",
@@ -98,11 +97,15 @@ RENDERERS = {
 
 def event_lines(events: DataFrame, kind: str, source: str = "events") -> DataFrame:
     """Line table rendered from ``events`` by one of ``RENDERERS``."""
-    return balance(events).select(
+    return events.select(
         F.col("event_id").alias("line_id"), RENDERERS[kind]().alias("raw"),
         F.lit(source).alias("source"), F.lit(None).cast("string").alias("file_path"))
 
 
+def page_status() -> Column:
+    return F.element_at(F.array(*[F.lit(s) for s in STATUS_BY_MOD4]), (F.col("page_id") % 4 + 1).cast("int"))
+
+
 def page_access_lines(pages: DataFrame, source: str = "pages") -> DataFrame:
     """Access lines whose URI is the path part of ``pages.url``."""
     path = F.regexp_extract(F.col("url"), PATH_RE, 1)
@@ -111,8 +114,8 @@ def page_access_lines(pages: DataFrame, source: str = "pages") -> DataFrame:
     raw = F.concat(
         F.lit("10.0.1."), _s(F.col("page_id") % 256), F.lit(" - - ["),
         F.date_format(ts, "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET '), uri,
-        F.lit(' HTTP/1.1" 200 '), _s(F.length("html")), F.lit(' "-" "crawler/1"'))
-    return balance(pages).select(F.col("page_id").alias("line_id"), raw.alias("raw"),
+        F.lit(' HTTP/1.1" '), _s(page_status()), F.lit(" "), _s(F.length("html")), F.lit(' "-" "crawler/1"'))
+    return pages.select(F.col("page_id").alias("line_id"), raw.alias("raw"),
                         F.lit(source).alias("source"), F.lit(None).cast("string").alias("file_path"))
 
 
@@ -159,5 +162,21 @@ def timestamp_text() -> Column:
             .otherwise(stamp))
 
 
+def timestamp_forms() -> Column:
+    """``events.ts``, spread over twelve months, in unusual forms of the layouts (by ``event_id % 7``)."""
+    ts = F.col("ts") + F.make_dt_interval((F.col("event_id") % 12 * 30).cast("int"))
+    m = F.col("event_id") % 7
+    at = F.date_format(ts, "HH:mm:ss")
+    return (F.when(m == 0, F.concat(F.date_format(ts, "EEE, dd MMM yyyy "), at, F.lit(".25 GMT")))
+            .when(m == 1, F.concat(F.date_format(ts, "yyyy-MM-dd"), F.lit(" 5:00:00")))
+            .when(m == 2, F.concat(F.date_format(ts, "yyyy-MM-dd'T'"), at, F.lit(",5Z")))
+            .when(m == 3, F.concat(F.lower(F.date_format(ts, "MMM")), F.lit("  "), _s(F.dayofmonth(ts)), F.lit(" "), at))
+            .when(m == 4, F.concat(F.date_format(ts, "yyyy/MM/dd"), F.lit("   "), at))
+            .when(m == 5, F.concat(F.upper(F.date_format(ts, "MMM")), F.lit(" "), F.lpad(_s(F.dayofmonth(ts)), 2, " "),
+                                   F.lit(" "), at, F.lit(".125")))
+            .otherwise(F.concat(F.upper(F.date_format(ts, "EEE, dd MMM yyyy ")), at, F.lit("  +0000"))))
+
+
 RENDERERS.update({"alias_json": alias_json_line, "defaults_json": defaults_json_line,
-                  "syslog": syslog_line, "timestamp_text": timestamp_text})
+                  "syslog": syslog_line, "timestamp_text": timestamp_text,
+                  "timestamp_forms": timestamp_forms})

@@ -27,6 +27,7 @@ class SourceSpec:
     priority: str | None = None        # S9: per-source level threshold
     recursive: bool = False            # S2
     path_glob: str | None = None       # S2: e.g. "*.log"
+    clean_name: bool = False           # S6b: label trimmed of "." and "_"
 
 
 @dataclass(frozen=True)
@@ -55,21 +56,21 @@ class JobSpec:
         seen = set()
         for src in self.sources:
             if not src.path:
-                raise ValueError("source missing required field: path")
+                raise ValueError("every source needs a path")
             if src.name:
                 if src.name in seen:
-                    raise ValueError(f"duplicate source name: {src.name!r}")
+                    raise ValueError(f"two sources are called {src.name!r}")
                 seen.add(src.name)
         if not self.outputs:
-            raise ValueError("at least one output must be configured")
+            raise ValueError("a job needs an output")
         for i, out in enumerate(self.outputs):
             if not out.type:
-                raise ValueError(f"output[{i}]: missing required field 'type'")
+                raise ValueError(f"output {i} has no type")
             if out.type not in OUTPUT_TYPES:
-                raise ValueError(f"output[{i}]: unknown type {out.type!r} "
-                                 f"(valid: {'|'.join(OUTPUT_TYPES)})")
+                raise ValueError(f"output {i} has the unknown type {out.type!r}; "
+                                 f"known are {', '.join(OUTPUT_TYPES)}")
             if out.type in ("file", "elasticsearch", "kafka", "webhook") and not out.url:
-                raise ValueError(f"output[{i}]: {out.type} output requires 'url'")
+                raise ValueError(f"output {i} ({out.type}) needs a url")
         for t in self.pipeline.transforms:
             t.validate()
         return self
@@ -82,14 +83,44 @@ def _get(d: dict, *keys, default=None):
     return default
 
 
+# Keys that a configuration may have; "color" concerns a terminal only.
+_KEYS = {
+    "configuration": {"sources", "pipeline", "outputs"},
+    "source": {"path", "name", "parse", "maxLineLength", "max_line_length", "priority", "recursive",
+               "pathGlob", "path_glob", "cleanName", "clean_name"},
+    "pipeline": {"parse", "minLevel", "min_level", "includeRegex", "include_regex", "excludeRegex",
+                 "exclude_regex", "drop", "expr", "transforms", "referenceYear", "reference_year",
+                 "timeZone", "time_zone"},
+    "output": {"type", "url", "index", "topic", "maxRecordsPerFile", "max_records_per_file", "maxSize",
+               "max_bytes_per_file", "compress", "bufferSize", "buffer_size", "flushInterval",
+               "flush_interval", "batchSize", "batch_size", "headers", "username", "password",
+               "compression", "retryMax", "retry_max", "color"},
+}
+
+
+def _known(what: str, d: dict) -> None:
+    unknown = sorted(set(d) - _KEYS[what])
+    if unknown:
+        raise ValueError(f"{what}: unsupported key(s) {', '.join(unknown)}")
+
+
 def from_dict(cfg: dict) -> JobSpec:
-    """Build a spec from a configuration mapping (reference key names accepted)."""
+    """Build a spec from a configuration mapping (reference key names accepted).
+
+    A key that has no effect here is an error, so nothing is ignored unseen.
+    """
+    _known("configuration", cfg)
+    _known("pipeline", cfg.get("pipeline") or {})
+    for what, listed in (("source", cfg.get("sources")), ("output", cfg.get("outputs"))):
+        for d in listed or []:
+            _known(what, d)
     sources = tuple(
         SourceSpec(path=_get(s, "path", default=""), name=_get(s, "name"), parse=_get(s, "parse"),
                    max_line_length=int(_get(s, "maxLineLength", "max_line_length",
                                             default=DEFAULT_MAX_LINE_LENGTH) or DEFAULT_MAX_LINE_LENGTH),
                    priority=_get(s, "priority"), recursive=bool(_get(s, "recursive", default=False)),
-                   path_glob=_get(s, "pathGlob", "path_glob"))
+                   path_glob=_get(s, "pathGlob", "path_glob"),
+                   clean_name=bool(_get(s, "cleanName", "clean_name", default=False)))
         for s in cfg.get("sources") or [])
     p = cfg.get("pipeline") or {}
     drop = p.get("drop")
@@ -110,6 +141,7 @@ def from_dict(cfg: dict) -> JobSpec:
         OutputSpec(type=_get(o, "type", default=""), url=_get(o, "url"), index=_get(o, "index"),
                    topic=_get(o, "topic"),
                    max_records_per_file=_get(o, "maxRecordsPerFile", "max_records_per_file"),
+                   max_bytes_per_file=_get(o, "maxSize", "max_bytes_per_file"),
                    compress=bool(_get(o, "compress", default=False)),
                    buffer_size=int(_get(o, "bufferSize", "buffer_size", default=1000) or 1000),
                    flush_interval=str(_get(o, "flushInterval", "flush_interval", default="5 seconds")),

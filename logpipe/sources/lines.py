@@ -7,6 +7,7 @@ S6 source label, S7 fan-in.  Streaming (S3) uses the same functions on a
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,19 +41,61 @@ def source_label(name: str | None, clean: bool = False) -> Column:
     return F.btrim(base, F.lit("._")) if clean else base
 
 
+def split_glob(path: str) -> tuple[str, str | None, str | None]:
+    """``base/**/rest`` as (base, glob of the file name, regex of the path below base).
+
+    ``**`` stands for any number of folders, none included.  A path without it
+    is returned whole.
+    """
+    base, star, rest = path.partition("**")
+    if not star:
+        return path, None, None
+    rest = rest.lstrip("/") or "*"
+    base = base.rstrip("/") or ("/" if path.startswith("/") else ".")
+    return base, rest.rsplit("/", 1)[-1].replace("**", "*"), f"/(.*/)?{_glob_regex(rest)}\\z"
+
+
+def _glob_regex(glob: str) -> str:
+    """A path glob as a Java regex."""
+    out, i = "", 0
+    while i < len(glob):
+        ch = glob[i]
+        if glob.startswith("**/", i):
+            out, i = out + "(.*/)?", i + 3
+        elif glob.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif ch == "{" and "}" in glob[i:]:
+            end = glob.index("}", i)
+            out, i = out + "(" + "|".join(_glob_regex(x) for x in glob[i + 1:end].split(",")) + ")", end + 1
+        elif ch == "[" and "]" in glob[i:]:
+            end = glob.index("]", i)
+            out, i = out + "[" + glob[i + 1:end].replace("!", "^", 1) + "]", end + 1
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(ch) or re.escape(ch)
+            i += 1
+    return out
+
+
 def read_lines(spark: SparkSession, paths, name: str | None = None, *, recursive: bool = False,
                path_glob: str | None = None, stream: bool = False, clean_name: bool = False,
                max_files_per_trigger: int | None = None) -> DataFrame:
     """One row per line of every matching file, normalised."""
     if isinstance(paths, str):
         paths = [paths]
+    deep = [p for p in paths if "**" in p]
+    if stream and len(paths) != 1:
+        raise ValueError("a streaming source watches one directory")
+    if deep and len(paths) > 1:
+        return fan_in([read_lines(spark, p, name, recursive=recursive, path_glob=path_glob, clean_name=clean_name)
+                       for p in paths])
+    below = None
+    if deep:
+        base, glob, below = split_glob(paths[0])
+        recursive, path_glob, paths = True, path_glob or glob, [base]
     reader = _reader(spark, stream, recursive, path_glob, max_files_per_trigger)
-    if stream:
-        if len(paths) != 1:
-            raise ValueError("a streaming source watches one directory")
-        df = reader.load(paths[0])
-    else:
-        df = reader.load(paths)
+    df = reader.load(paths[0] if stream else paths)
+    if below:
+        df = df.where(F.col("_metadata.file_path").rlike(below))
     df = df.select(F.col("value").alias(LINE_RAW),
                    source_label(name, clean_name).alias(LINE_SOURCE),
                    F.col("_metadata.file_path").alias(LINE_FILE))
@@ -87,30 +130,11 @@ def limit_length(df: DataFrame, max_length: int | None = DEFAULT_MAX_LINE_LENGTH
 def text_lines(df: DataFrame, text_col: str, source: Column | str, keep: list[str] = ()) -> DataFrame:
     """Split a text column on ``\\n`` into a line table (``line_no`` from 0)."""
     src = F.lit(source) if isinstance(source, str) else source
-    exploded = balance(df).select(*keep, src.alias(LINE_SOURCE),
+    exploded = df.select(*keep, src.alias(LINE_SOURCE),
                          F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", LINE_RAW))
     return normalise(exploded.withColumn(LINE_FILE, F.lit(None).cast("string")))
 
 
-def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread an under-split input over the cluster before the costly per-line work.
-
-    A single small file, a parquet file with one row group or a gzip file is
-    one split, so one task would parse all of it.  Only when the input has
-    fewer partitions than ``min_partitions`` (default: the cluster's
-    parallelism) are the lines dealt round-robin; at scale inputs already
-    have far more splits than cores and this is a no-op.
-    """
-    if df.isStreaming:
-        return df
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # Spark Connect: no RDD view; leave the plan alone
-        return df
-    return df.repartition(target) if current < target else df
-
-
 def fan_in(frames: list[DataFrame]) -> DataFrame:
     """Bag union of several sources (columns matched by name)."""
     if not frames:
