@@ -26,6 +26,13 @@ REMEMBERED = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _grams(word: str, k: int) -> list[str]:
+    """The word's ``k`` characters in a row, its ends marked by blanks (but for single characters)."""
+    if k > 1:
+        word = f" {word} "
+    return [word[i:i + k] for i in range(len(word) - k + 1)]
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
@@ -65,11 +72,10 @@ class Model:
         grams: dict[int, list[Counter]] = {k: [Counter() for _ in self.langs] for k in range(1, NGRAM + 1)}
         for lang, word, n in counts:
             words[at[lang]][word] += n
-            padded = f" {word} "
             for k, by_lang in grams.items():
                 own = by_lang[at[lang]]
-                for i in range(len(padded) - k + 1):
-                    own[padded[i:i + k]] += n
+                for gram in _grams(word, k):
+                    own[gram] += n
         self.words = self._logs(words, size * len(counts))
         self.grams = {k: self._logs(g, MODEL_GRAMS) for k, g in grams.items()}
         self.memory = Memory()  # a worker's; it lasts from task to task
@@ -94,8 +100,7 @@ class Model:
             names, logs = self.grams[k]
             hits, sizes, found, missed = [], [], [], []
             for i in rest:
-                padded = f" {words[i]} "
-                own = [x for x in [names.get(padded[j:j + k]) for j in range(len(padded) - k + 1)] if x is not None]
+                own = [x for x in map(names.get, _grams(words[i], k)) if x is not None]
                 if own:
                     hits += own
                     sizes.append(len(own))

@@ -208,11 +208,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = simhash_groups(docs, id_col, text_col, shingle, distance)
     kept = groups.groupBy("root").agg(
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("k"))
-    kept = kept.select(F.col("k.id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash")).distinct()
-    rows = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    return (rows.join(kept, rows[id_col].eqNullSafe(kept["_kept_id"])
-                      & (rows["_text_hash"] == kept["_kept_hash"]), "left_semi")
-            .dropDuplicates([id_col, "_text_hash"]).drop("_text_hash"))
+    kept = kept.select(F.col("k.id").alias("__kept_id"), F.col("k.text_hash").alias("__kept_hash")).distinct()
+    rows = docs.withColumn("__text_hash", F.xxhash64(text_col))
+    return (rows.join(kept, rows[id_col].eqNullSafe(kept["__kept_id"])
+                      & (rows["__text_hash"] == kept["__kept_hash"]), "left_semi")
+            .dropDuplicates([id_col, "__text_hash"]).drop("__text_hash"))
 
 
 def hex_fingerprint(fp="fp"):
