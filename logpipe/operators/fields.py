@@ -84,7 +84,7 @@ def _variant_string(v: Column) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def _strict_typed(v: Column, dtype: str) -> Column:
+def strict_typed(v: Column, dtype: str) -> Column:
     """VARIANT -> promoted column type, NULL unless the JSON type matches exactly."""
     kind = F.schema_of_variant(v)
     if dtype == "string":
@@ -108,10 +108,13 @@ def without_key(m: Column, key: str) -> Column:
 
 
 def without_keys(attrs: Column, keys: list[str]) -> Column:
-    out = attrs
-    for k in dict.fromkeys(keys):
-        out = without_key(out, k)
-    return out
+    """``attrs`` minus some keys: array functions for one or two, one filtering pass for more."""
+    keys = list(dict.fromkeys(keys))
+    if len(keys) > 2:
+        return F.map_filter(attrs, lambda k, v: ~k.isin(keys))
+    for k in keys:
+        attrs = without_key(attrs, k)
+    return attrs
 
 
 def put(field: str, value: Column, when: Column | None = None) -> dict[str, Column]:
@@ -128,7 +131,7 @@ def put(field: str, value: Column, when: Column | None = None) -> dict[str, Colu
         value = set_path(top_variant(top), parts[1:], value)
     updates: dict[str, Column] = {}
     if top in PROMOTED:
-        typed = _strict_typed(value, PROMOTED[top])
+        typed = strict_typed(value, PROMOTED[top])
         updates[top] = F.when(cond, typed).otherwise(F.col(top))
         new_attrs = F.when(typed.isNull(), F.map_concat(attrs, F.create_map(F.lit(top), value))) \
             .otherwise(without_key(attrs, top))
