@@ -44,9 +44,7 @@ def main() -> None:
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `scripts/explain_plans.py` on `{sf_dir}` (local[8], AQE off to show codegen).")
-    print("`RoundRobinPartitioning` is `balance()` spreading a single-row-group table over the cores;")
-    print("on inputs with more splits than cores it disappears. `O5_webhook` reads its checkpointed")
-    print("rendered events (no file scan); its broadcast is the per-range offset table (one row per range).\n")
+    print("`O5_webhook` broadcasts its per-range offset table (one row per range).\n")
     print("| Query | Exchanges | # | Parse stages (Generate) | Codegen'd operators | Broadcast | Scan columns |")
     print("|---|---|---|---|---|---|---|")
     flagship = None
