@@ -30,16 +30,15 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def assign_batches(df: DataFrame, batch_size: int, order_by: list[str],
-                   buckets: int | None = None, bucket_by: Column | None = None) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """Add ``_bucket``, ``_batch`` (0-based within the bucket) and ``_seq`` (position in batch)."""
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    if bucket_by is None:
-        n = buckets or default_buckets(df)
-        bucket_by = F.pmod(F.xxhash64(*[F.col(c) for c in order_by]), F.lit(n))
+    n = buckets or default_buckets(df)
+    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in order_by]), F.lit(n))
     w = Window.partitionBy(BUCKET).orderBy(*[F.col(c) for c in order_by])
     rn = F.row_number().over(w) - 1
-    return (df.withColumn(BUCKET, bucket_by.cast("bigint"))
+    return (df.withColumn(BUCKET, bucket.cast("bigint"))
               .withColumn("_rn", rn)
               .withColumn(BATCH, F.floor(F.col("_rn") / F.lit(batch_size)).cast("bigint"))
               .withColumn(SEQ, (F.col("_rn") % F.lit(batch_size)).cast("int"))

@@ -67,7 +67,7 @@ def sent_at() -> Column:
 
 def webhook_batches(events: DataFrame, batch_size: int = DEFAULT_WEBHOOK_BATCH,
                     order_by: list[str] | None = None, buckets: int | None = None,
-                    bucket_by: Column | None = None, global_order: bool = False) -> DataFrame:
+                    global_order: bool = False) -> DataFrame:
     """One row per batch of at most ``batch_size`` events with its envelope text.
 
     ``order_by`` fixes the order inside batches (default: the rendered event
@@ -81,7 +81,7 @@ def webhook_batches(events: DataFrame, batch_size: int = DEFAULT_WEBHOOK_BATCH,
         rendered = rendered.select(*dict.fromkeys(order + ["_event"]))
         batched = assign_global_batches(rendered, batch_size, order, buckets)
     else:
-        batched = assign_batches(rendered, batch_size, order, buckets, bucket_by)
+        batched = assign_batches(rendered, batch_size, order, buckets)
     first_last = [F.min(F.struct(*[F.col(c) for c in order])).alias("_first"),
                   F.max(F.struct(*[F.col(c) for c in order])).alias("_last")]
     out = collect_batches(batched, "_event", first_last)
