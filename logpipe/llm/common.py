@@ -31,7 +31,9 @@ def store(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    The files go when the application ends, or earlier through ``discard``.
+    The files go when the application ends, or earlier through ``discard``;
+    the shuffle files behind them are of no more use, and Spark's cleaner
+    removes them once the driver's garbage is collected.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/llm-{uuid.uuid4().hex}"
@@ -40,6 +42,7 @@ def store(df: DataFrame) -> DataFrame:
     fs.deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
+    spark._jvm.System.gc()
     return out
 
 
