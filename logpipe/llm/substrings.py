@@ -24,13 +24,13 @@ from logpipe.llm.rlbwt import _words, repeats
 #: Bytes hashed at an anchor.
 GRAM = 32
 #: Bytes of text searched for anchors together.
-ANCHOR_BYTES = 1 << 20
+ANCHOR_BYTES = 1 << 18
 #: Mean bytes of segments indexed together.
-INDEX_BYTES = 3 << 20
+INDEX_BYTES = 1 << 20
 #: Different segments of one anchor beyond which it is split.
 HOT_SEGMENTS = 4096
-#: Rows (of at most 60 bytes) up to which a side of a join is broadcast.
-BROADCAST_ROWS = 400_000
+#: Rows (of 16 bytes) up to which a side of a join is broadcast.
+BROADCAST_ROWS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _ROW = ("anchor long", "digest long", "key long", "size integer", "start integer", "last integer", "place integer",
         "n long")
@@ -191,8 +191,8 @@ def _narrow(least: int, step: int):
                     low = back // step * step
                     upto = min(last, at + back - low)
                     high = low + step - 1
-                    core = body[max(0, place - low):place - high + least]
-                    group = xxhash.xxh64_intdigest(core, (step << 32) + low)
+                    core = body[place - low:place - high + least]
+                    group = xxhash.xxh64_intdigest(core, (step << 32) + low) ^ (anchor & (1 << 64) - 1)
                     row = (group - (1 << 63), key, size, at, upto, back, n, body[at - start:upto - start + least])
                     for c, v in zip(out, row):
                         c.append(v)
@@ -205,7 +205,8 @@ def _narrow(least: int, step: int):
 def _split_hot(rows: DataFrame, least: int, hot_segments: int):
     """(rows to index, spans settled) of the segments of hot anchors."""
     spark = rows.sparkSession
-    step, ready, settled = 256, [], []
+    # the strings of a range share more than half their bytes
+    step, ready, settled = 1 << (least // 2).bit_length() - 1, [], []
     while step:
         cut = store(rows.mapInArrow(_narrow(least, step), schema(*_BODY)).withColumn("digest", F.xxhash64("body")))
         counts = cut.groupBy("anchor", "digest").agg(
@@ -247,10 +248,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", least: int = 400,
                   .where("kinds > 1 and least_n = 1").select("anchor", "kinds"))
     wanted = (kinds.join(_small(mixed), "anchor").groupBy("key", "size")
               .agg(F.collect_list(F.struct("anchor", "start", "last", "place", "n")).alias("wanted")))
-    wanted = store(wanted)
-    rows = texts.join(_small(wanted), ["key", "size"]).select("key", "size", "t", "wanted")
-    rows = rows.mapInArrow(_bodies(least), schema(*_BODY))
     sizes = mixed.agg(F.sum("kinds"), F.max("kinds")).first()
+    rows = texts.join(store(wanted), ["key", "size"]).select("key", "size", "t", "wanted")
+    rows = rows.mapInArrow(_bodies(least), schema(*_BODY))
     settled = [whole]
     if (sizes[1] or 0) > hot_segments:
         rows = store(rows)
@@ -287,7 +287,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty; NULL ids are carried; an empty table gives an empty result; other
     columns are not read.
     """
-    spans = repeated_spans(docs, text_col, least, hot_segments)
+    # stored, so that the join with many copies of one text can be split
+    spans = store(repeated_spans(docs, text_col, least, hot_segments))
     t = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(t).alias("key"), F.octet_length(t).alias("size"),
                        utf8(t).alias("t"))
