@@ -26,12 +26,17 @@ BROADCAST_ROWS = 200_000
 #: What stands for a variable field.
 FIELD = "<*>"
 _BLANKS = r"[ \t\r\x0B\f]+"
+_ODD_BLANKS = r"[\t\r\x0B\f]|  "
 _VARIABLE = r"[^ ]*[0-9][^ ]*"
 
 
 def masked(line: Column) -> Column:
-    """The line with single blanks and its digit-bearing tokens as variable fields."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, _BLANKS, " ")), _VARIABLE, FIELD)
+    """The line with single blanks and its digit-bearing tokens as variable fields.
+
+    Replacing costs far more than looking, so only lines that need it are rewritten.
+    """
+    line = F.when(line.rlike(_ODD_BLANKS), F.regexp_replace(line, _BLANKS, " ")).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(F.trim(line), _VARIABLE, FIELD)).otherwise(F.trim(line))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -81,17 +86,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     going = (rows.select("key", "size", "line").join(_small(dropped), "line").distinct()
              .groupBy("key", "size")
              .agg(F.map_from_entries(F.collect_list(F.struct("line", "keeper"))).alias("_going")))
-    out = docs.withColumn("_key", F.xxhash64(text_col)).withColumn("_size", F.length(text_col))
-    out = out.join(going, (out["_key"] == going["key"]) & (out["_size"] == going["size"]), "left")
-    stay = F.filter(lines, lambda x: ~F.coalesce(_goes(x, docs[id_col]), F.lit(False)))
+    going = store(going)  # so that the join with many copies of one text can be split
+    # the document stays in one piece: its columns may be called anything
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("t"),
+                      F.xxhash64(text_col).alias("key"), F.length(text_col).alias("size"))
+    out = own.join(going, ["key", "size"], "left")
+    lines = F.split("t", "\n")
+    hashed = F.transform(lines, lambda x: F.struct(x.alias("line"), F.xxhash64(masked(x)).alias("k")))
+    stay = F.filter(hashed, lambda x: ~F.coalesce(_goes(x["k"]), F.lit(False)))
+    out = out.withColumn("stay", F.when(F.col("_going").isNotNull(), stay.getField("line")))
     n_all = F.size(F.filter(lines, lambda x: x.rlike(r"[^ \t\r\x0B\f]")))
-    out = out.withColumn("_stay", F.when(F.col("_going").isNotNull(), stay))
-    own = [F.coalesce(F.array_join("_stay", "\n"), docs[c]).alias(c) if c == text_col else docs[c]
-           for c in docs.columns]
-    return out.select(*own, F.when(docs[text_col].isNull(), 0).otherwise(n_all).cast("long").alias("_n_lines"),
-                      F.coalesce(F.size(lines) - F.size("_stay"), F.lit(0)).cast("long").alias("_n_dropped"))
+    kept = F.coalesce(F.array_join("stay", "\n"), F.col("t"))
+    columns = [kept.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return out.select(*columns, F.when(F.col("t").isNull(), 0).otherwise(n_all).cast("long").alias("_n_lines"),
+                      F.coalesce(F.size(lines) - F.size("stay"), F.lit(0)).cast("long").alias("_n_dropped"))
 
 
-def _goes(line: Column, doc_id: Column) -> Column:
-    key = F.xxhash64(masked(line))
-    return F.map_contains_key("_going", key) & ~F.element_at("_going", key).eqNullSafe(doc_id)
+def _goes(key: Column) -> Column:
+    return F.map_contains_key("_going", key) & ~F.element_at("_going", key).eqNullSafe(F.col("id"))
