@@ -24,8 +24,8 @@ from logpipe.llm.vocabulary import is_plain, library, merges, plain_splitter
 
 #: Words remembered by a worker before it starts afresh.
 REMEMBERED = 400_000
-#: Mean pieces that are ranked together.
-RANK_ROWS = 20_000
+#: Mean pieces of one length that are ranked together.
+RANK_ROWS = 500
 #: How the word vocabulary's splitter cuts a lower-cased text.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 _split = plain_splitter(WORD)
@@ -171,12 +171,15 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     spark = prepare(docs.sparkSession)
     cut = store(pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id))
-    # one length may hold a third of all pieces: its ranks are made up of many small shares
-    shares = cut.count() // RANK_ROWS + 1
-    cut = cut.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shares)))
-    sizes = store(cut.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n")))
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    # at most ``capacity`` rows, whatever the data
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = spark.sparkContext.broadcast(_places(plan(counts, capacity)))
+    # one length may hold a third of all pieces: its ranks are made up of many small shares
+    shares = spark.createDataFrame([(length, n // RANK_ROWS + 1) for length, n in counts.items()],
+                                   "length long, shares long")
+    cut = cut.join(F.broadcast(shares), "length").withColumn(
+        "share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "shares")).drop("shares")
+    sizes = cut.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("length", "share", (F.sum("n").over(
         Window.partitionBy("length").orderBy("share")) - F.col("n")).alias("before"))
     within = Window.partitionBy("length", "share").orderBy("doc_id", "piece", "ids_crc32")
