@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from logpipe.llm.common import discard, store
 
+#: Shares that the links of one node are joined in.
+SHARES = 16
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links(a, b)``; root is the smallest node reachable.
@@ -37,14 +40,24 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _with_low(edges: DataFrame) -> DataFrame:
+    """Each link (u, v) with ``low``, the smallest v of its u.
+
+    A node with very many links is joined in ``SHARES`` shares of them; its
+    low is sent to the shares that it has.
+    """
+    dealt = edges.withColumn("share", F.pmod(F.xxhash64("v"), F.lit(SHARES)))
+    low = dealt.groupBy("u").agg(F.min("v").alias("low"), F.collect_set("share").alias("shares"))
+    low = low.select("u", "low", F.explode("shares").alias("share"))
+    return dealt.join(low, ["u", "share"]).drop("share")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("v", "u"))
-    low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low"))
-    return (both.where("v > u").join(low, "u")
-            .select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
+    both = _with_low(edges.union(edges.select("v", "u")))
+    return both.where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("low"))
-    moved = edges.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return moved.union(low).distinct()
+    rows = _with_low(edges)
+    moved = rows.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    return moved.union(rows.where("v = low").select("u", "low")).distinct()
