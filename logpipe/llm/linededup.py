@@ -88,7 +88,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .agg(F.map_from_entries(F.collect_list(F.struct("line", "keeper"))).alias("_going")))
     going = store(going)  # so that the join with many copies of one text can be split
     # the document stays in one piece: its columns may be called anything
-    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("t"),
+    own = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("doc"),
+                      F.col(id_col).alias("id"), F.col(text_col).alias("t"),
                       F.xxhash64(text_col).alias("key"), F.length(text_col).alias("size"))
     out = own.join(going, ["key", "size"], "left")
     lines = F.split("t", "\n")
