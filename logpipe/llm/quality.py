@@ -24,8 +24,12 @@ from logpipe.llm.langid import held_out
 #: Bounds of what is learned from: labelled documents, and pairs each takes part in.
 TRAIN_DOCS = 20_000
 PAIRS_EACH = 8
+#: Labels (of 12 bytes) up to which they are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Weight of the squared norm in the loss, and Newton steps.
 RIDGE = 1e-3
+#: Scores between which a quantile is looked for, at most this many on the driver at a time.
+AT_ONCE = 20_000
 STEPS = 25
 _WORD = re.compile(r"\S+")
 _CLASSES = np.zeros(256, np.uint8)
@@ -87,9 +91,11 @@ class Ranker:
     threshold: float
     scale: float
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return (_expand(x) - self.mean) / self.spread @ self.weights
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        raw = (_expand(x) - self.mean) / self.spread @ self.weights
-        return 1 / (1 + np.exp(-np.clip(self.scale * (raw - self.threshold), -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * (self.raw(x) - self.threshold), -50, 50)))
 
 
 def _expand(x: np.ndarray) -> np.ndarray:
@@ -130,6 +136,23 @@ def fit(x: np.ndarray, y: np.ndarray, pairs_each: int = PAIRS_EACH, seed: int =
     return Ranker(mean, spread, w, threshold, 1.0)
 
 
+def kth(values: DataFrame, k: int, at_once: int = AT_ONCE) -> float:
+    """The ``k``-th smallest (from 0) of the column ``raw``, exactly: the range that holds it is cut until it is small."""
+    n, low, high = values.agg(F.count("raw"), F.min("raw"), F.max("raw")).first()
+    while n > at_once and low < high:
+        part = values.where(F.col("raw").between(low, high))
+        cell = F.floor((F.col("raw") - low) / F.lit(high - low) * 4096)
+        for r in part.groupBy(cell.alias("cell")).agg(F.count("raw").alias("n"), F.min("raw").alias("low"),
+                                                      F.max("raw").alias("high")).orderBy("cell").collect():
+            if k < r["n"]:
+                n, low, high = r["n"], r["low"], r["high"]
+                break
+            k -= r["n"]
+    if low == high:
+        return low
+    return sorted(r["raw"] for r in values.where(F.col("raw").between(low, high)).collect())[k]
+
+
 def feature_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, x array<double>) per row of ``docs``."""
     prepare(docs.sparkSession)
@@ -153,6 +176,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Learns from at most about ``train_docs`` labelled documents that are not
     held out, picked by a hash of the id; labels other than 0 and 1 teach
     nothing, several labels of one id count by their majority (a draw as 1).
+    The score where a document counts as good is the quantile over all
+    labelled documents that are not held out, sampled or not.
     NULL and empty texts get a score like any other; NULL ids and repeated
     rows are carried as they are; other columns are not read.
     """
@@ -162,14 +187,33 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
              .where("id is not null and y in (0, 1)").where(~aside)
              .groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y")))
+    known = store(known)
     n = known.count()
+
+    def one_each(known):
+        """One text per id: repeated rows of an id teach once."""
+        return (rows.join(F.broadcast(known) if n <= BROADCAST_ROWS else known, "id").groupBy("id")
+                .agg(F.min(F.struct("x", "y")).alias("s")).select("id", "s.x", "s.y"))
+
+    picked = known
     if n > train_docs:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * train_docs / n))
-    # one text per id: repeated rows of an id teach once
-    sample = (rows.join(F.broadcast(known), "id").groupBy("id").agg(F.min(F.struct("x", "y")).alias("s"))
-              .select("id", "s.x", "s.y").orderBy("id").collect())
-    model = spark.sparkContext.broadcast(fit(np.array([r["x"] for r in sample]).reshape(-1, N_FEATURES),
-                                             np.array([r["y"] for r in sample], np.int64)))
+        picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * train_docs / n))
+    sample = one_each(picked).orderBy("id").collect()
+    fitted = fit(np.array([r["x"] for r in sample]).reshape(-1, N_FEATURES),
+                 np.array([r["y"] for r in sample], np.int64))
+    if n > train_docs and fitted.weights.any():
+        ranker = spark.sparkContext.broadcast(fitted)
+
+        def raw_scores(batches):
+            for b in batches:
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+                yield pa.RecordBatch.from_arrays([pa.array(ranker.value.raw(x)), b.column("y")], ["raw", "y"])
+
+        scores = store(one_each(known).select("x", "y").mapInArrow(raw_scores, "raw double, y integer"))
+        total, good = scores.agg(F.count("raw"), F.sum("y")).first()
+        cut = total - good
+        fitted.threshold = (kth(scores, max(cut - 1, 0)) + kth(scores, min(cut, total - 1))) / 2
+    model = spark.sparkContext.broadcast(fitted)
 
     def run(batches):
         for b in batches:

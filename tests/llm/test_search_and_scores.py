@@ -183,3 +183,27 @@ def test_held_out_quality_labels_teach_nothing(spark, words):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = quality.quality_scores(df, spark.createDataFrame(lab, "doc_id long, quality long")).collect()
     assert all(r["predicted"] == r["doc_id"] % 2 for r in out)
+
+
+def test_quality_threshold_covers_all_labels(spark, words):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(900):
+        text = words(rng.randint(20, 80), i)
+        noisy = rng.random()
+        rows.append((i, " ".join(w + "%%" if rng.random() < noisy else w for w in text)))
+        labels.append((i, int(noisy + rng.gauss(0, 0.2) < 0.3)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality long")
+    out = quality.quality_scores(df, lab, train_docs=60).collect()
+    own = [r for r in out if not r["held_out"]]
+    # as many are predicted good as are labelled good, whatever the sample
+    assert sum(r["predicted"] for r in own) == sum(dict(labels)[r["doc_id"]] for r in own)
+
+
+def test_kth_smallest(spark):
+    rng = random.Random(9)
+    values = [rng.gauss(0, 1) ** 5 for _ in range(2000)] + [0.25] * 500
+    df = spark.createDataFrame([(v,) for v in values], "raw double")
+    for k in (0, 1, 700, 1400, 2498, 2499):
+        assert quality.kth(df, k, at_once=10) == sorted(values)[k]
