@@ -11,15 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logpipe.llm.common import prepare, schema
+from logpipe.llm.common import prepare, schema, store
 
-#: Bounds of what is learned from: documents, and words kept (most frequent first).
+#: Bounds of what is learned from: documents, and words kept per language (most frequent first).
 TRAIN_DOCS = 20_000
 MODEL_WORDS = 40_000
 #: Longest n-gram that an unseen word falls back to; the shortest is one character.
 NGRAM = 5
-#: n-grams kept per length, most frequent first.
+#: n-grams kept per length and language, most frequent first.
 MODEL_GRAMS = 40_000
+#: Entries of a table of words or n-grams by languages; with many languages each keeps fewer.
+MODEL_CELLS = 2_000_000
 UNKNOWN = "und"
 #: Distinct words whose scores a worker remembers before it starts afresh.
 REMEMBERED = 400_000
@@ -61,28 +63,72 @@ def _count_batches(seen: dict[str, Counter]):
                                           "n": pa.array(list(words.values()), pa.int64())})
 
 
+def _count_grams(batches):
+    """(lang, k, gram, n) of (lang, word, n)."""
+    for b in batches:
+        seen: Counter = Counter()
+        for lang, word, n in zip(*(b.column(c).to_pylist() for c in ("lang", "word", "n"))):
+            for k in range(1, NGRAM + 1):
+                for gram in _grams(word, k):
+                    seen[lang, k, gram] += n
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in keys], pa.string()), pa.array([x[1] for x in keys], pa.int32()),
+             pa.array([x[2] for x in keys], pa.string()), pa.array(list(seen.values()), pa.int64())],
+            ["lang", "k", "gram", "n"])
+
+
+def _most_frequent(counted: DataFrame, groups: list[str], name: str, most: int) -> DataFrame:
+    """About the ``most`` most frequent rows of each group; of the least count kept, those picked by a hash of ``name``.
+
+    Counts of counts tell where each group is cut, so no task ranks a whole group.
+    """
+    sizes = counted.groupBy(*groups, "n").agg(F.count(F.lit(1)).alias("rows")).orderBy(*groups, F.desc("n")).collect()
+    cuts: dict[tuple, tuple[int, int]] = {}
+    room: dict[tuple, int] = {}
+    for r in sizes:
+        group = tuple(r[g] for g in groups)
+        left = room.get(group, most)
+        if left > 0:
+            cuts[group] = (r["n"], min(1 << 20, (left << 20) // r["rows"]))
+        room[group] = left - r["rows"]
+    if not cuts:
+        return counted
+    cut = counted.sparkSession.createDataFrame(
+        [(*g, *c) for g, c in cuts.items()],
+        ", ".join([*(f"{g} {counted.schema[g].dataType.simpleString()}" for g in groups), "cut long", "share long"]))
+    ties = (F.col("n") == F.col("cut")) & (F.pmod(F.xxhash64(name), F.lit(1 << 20)) < F.col("share"))
+    return counted.join(F.broadcast(cut), groups).where((F.col("n") > F.col("cut")) | ties).drop("cut", "share")
+
+
 class Model:
-    """Log frequencies per language of words and of n-grams inside padded words."""
+    """Log frequencies per language of words and of n-grams inside padded words.
+
+    ``gram_counts`` are (language, length, n-gram, count); without them the words' own are counted.
+    """
 
-    def __init__(self, counts: list[tuple[str, str, int]], totals: dict[str, int]):
+    def __init__(self, counts: list[tuple[str, str, int]], totals: dict[str, int],
+                 gram_counts: list[tuple[str, int, str, int]] | None = None):
         self.langs = sorted(totals)
         at = {lang: i for i, lang in enumerate(self.langs)}
-        size = len(self.langs)
         words: list[Counter] = [Counter() for _ in self.langs]
         grams: dict[int, list[Counter]] = {k: [Counter() for _ in self.langs] for k in range(1, NGRAM + 1)}
         for lang, word, n in counts:
             words[at[lang]][word] += n
-            for k, by_lang in grams.items():
-                own = by_lang[at[lang]]
-                for gram in _grams(word, k):
-                    own[gram] += n
-        self.words = self._logs(words, size * len(counts))
-        self.grams = {k: self._logs(g, MODEL_GRAMS) for k, g in grams.items()}
+            if gram_counts is None:
+                for k, by_lang in grams.items():
+                    own = by_lang[at[lang]]
+                    for gram in _grams(word, k):
+                        own[gram] += n
+        for lang, k, gram, n in gram_counts or ():
+            grams[k][at[lang]][gram] += n
+        self.words = self._logs(words)
+        self.grams = {k: self._logs(g) for k, g in grams.items()}
         self.memory = Memory()  # a worker's; it lasts from task to task
 
     @staticmethod
-    def _logs(by_lang: list[Counter], most: int) -> tuple[dict[str, int], np.ndarray]:
-        names = [x for x, _ in sorted(sum(by_lang, Counter()).items(), key=lambda x: (-x[1], x[0]))[:most]]
+    def _logs(by_lang: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
+        names = [x for x, _ in sorted(sum(by_lang, Counter()).items(), key=lambda x: (-x[1], x[0]))]
         if not names:
             return {}, np.zeros((0, len(by_lang)))
         m = np.array([[c[x] for c in by_lang] for x in names]) + 0.5
@@ -152,26 +198,40 @@ class Memory:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           train_docs: int = TRAIN_DOCS, model_words: int = MODEL_WORDS) -> Model:
-    """Learn from at most about ``train_docs`` documents with a language, picked by a hash of the id.
-
-    The model holds at most ``model_words`` (language, word) counts and
-    ``MODEL_GRAMS`` n-grams of each length, so it can be broadcast whatever
-    the size of the corpus.  Rows without text or language teach nothing.
+    """Learn from about ``train_docs`` documents with a language, picked by a hash of the id.
+
+    A language with less than its even share of those is sampled up to that
+    share, so at most about twice as many are read and none is left out.  The
+    model holds at most ``model_words`` words and ``MODEL_GRAMS`` n-grams of
+    each length per language (fewer with many languages: ``MODEL_CELLS``), so
+    it can be broadcast whatever the size of the corpus.  Rows without text or
+    language teach nothing.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"),
                        F.col(text_col).alias("t")).where("lang is not null")
     known = rows.where("t is not null")
-    n = rows.select("id").count()
+    per_lang = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    n = sum(per_lang.values())
     if n > train_docs:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.floor((1 << 20) * train_docs / n))
+        even = -(-train_docs // len(per_lang))
+        share = docs.sparkSession.createDataFrame(
+            [(lang, math.ceil((1 << 20) * max(train_docs / n, even / own))) for lang, own in per_lang.items()],
+            "lang string, share long")
+        known = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share"))
     counted = known.select("lang", "t").mapInArrow(_count_words, "lang string, word string, n long")
-    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word", "lang").limit(model_words).collect()
+    counted = store(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    cells = MODEL_CELLS // max(1, len(per_lang)) ** 2 + 1
+    top = _most_frequent(counted, ["lang"], "word", min(model_words, cells)).toArrow()
+    grams = counted.mapInArrow(_count_grams, "lang string, k int, gram string, n long")
+    grams = store(grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")))
+    grams = _most_frequent(grams, ["lang", "k"], "gram", min(MODEL_GRAMS, cells)).toArrow()
+    counts, gram_counts = (list(zip(*(t.column(c).to_pylist() for c in names)))
+                           for t, names in ((top, ("lang", "word", "n")), (grams, ("lang", "k", "gram", "n"))))
     totals: Counter = Counter()
-    for r in top:
-        totals[r["lang"]] += r["n"]
-    return Model([tuple(r) for r in top], dict(totals))
+    for lang, _, times in counts:
+        totals[lang] += times
+    return Model(counts, dict(totals), gram_counts)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

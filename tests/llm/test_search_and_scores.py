@@ -149,6 +149,17 @@ def test_word_scores_fall_back_to_shorter_grams():
     assert m.word_scores(["kalomi", "qqq", "zuter"]).shape == (3, 2)
 
 
+def test_rare_languages_keep_words_and_grams(spark, monkeypatch):
+    rows = [(i, " ".join(f"zu{'abcdefgh'[i % 8]}ter{'klmn'[j % 4]}" for j in range(40)), "aa") for i in range(300)]
+    rows += [(1000 + i, "kalomi kalo", "bb") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(df, train_docs=40, model_words=20)
+    assert m.langs == ["aa", "bb"]
+    assert [x for x, _ in m.predict(["kalomi", "lomika", "zuaterk", "terzu"])] == ["bb", "bb", "aa", "aa"]
+    # n-grams of words that are not kept are known as well
+    assert "zuh" in m.grams[3][0] and len(m.words[0]) > 2
+
+
 # ------------------------------------------------------------------ quality
 def test_quality(spark, words):
     rng = random.Random(5)
