@@ -7,10 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logpipe.llm import (decontaminate, langid, linededup, pack, passages, quality, simhash,
-                         substrings, tokencount, topk)
-from logpipe.llm.common import table
-from logpipe.llm.sql import DECONTAMINATION_SQL, LINE_DEDUP_SQL, TOP_K_SQL
+from logpipe.llm import (decontaminate, langid, linededup, mixing, pack, passages, quality, simhash,
+                         spelling, substrings, tokencount, topk)
+from logpipe.llm.common import prepare, table
+from logpipe.llm.sql import DECONTAMINATION_SQL, LINE_DEDUP_SQL, SPELLING_SQL, TOP_K_SQL
 
 #: Where the public tokenizer files are; the package that describes them lies there itself.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -81,6 +81,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def words_with_misspellings(docs: DataFrame) -> DataFrame:
+    """(word, n) of all texts' runs of letters, one in 199 of them without one letter.
+
+    NULL texts have no words; a NULL id counts as an empty one.
+    """
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(
+        F.regexp_extract_all("text", F.lit(r"[A-Za-z\u00C0-\u00FF]{6,}"), F.lit(0))).alias("run"))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    runs = runs.select("id", F.translate("run", upper, upper.lower()).alias("run"))
+    runs = runs.select("run", F.crc32(F.concat("id", F.lit(":"), "run")).alias("h"))
+    at = F.pmod("h", F.char_length("run")).cast("int")
+    word = F.when(F.col("h") % 199 == 0, F.concat(F.left("run", at), F.substr("run", at + 2))).otherwise(F.col("run"))
+    return (runs.select(word.alias("word")).where(F.char_length("word") >= 6)
+            .groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 5"))
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    prepare(spark)
+    return spelling.variant_groups(words_with_misspellings(table(spark, sf_dir, "documents")))
+
+
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source targets of 150% of their words."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_substrings, op3_line_dedup, op4_passages, op5_token_counts, op6_language,
-                                   op7_pack, op8_top_k, op9_decontaminate, op10_quality)}
-ORACLE_SQL = {"op3_line_dedup": LINE_DEDUP_SQL, "op8_top_k": TOP_K_SQL, "op9_decontaminate": DECONTAMINATION_SQL}
+                                   op7_pack, op8_top_k, op9_decontaminate, op10_quality, op11_spelling, op13_mix)}
+ORACLE_SQL = {"op3_line_dedup": LINE_DEDUP_SQL, "op8_top_k": TOP_K_SQL, "op9_decontaminate": DECONTAMINATION_SQL,
+              "op11_spelling": SPELLING_SQL}

@@ -72,3 +72,38 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from docs left join hit using (row_id) left join named using (row_id)
 """
+
+# CRC-32 byte by byte; the runs' letters have one or two bytes of UTF-8
+SPELLING_SQL = r"""
+with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k:
+           case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+runs as (select coalesce(doc_id::varchar, '') as id,
+                unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{6,}')) as run from documents),
+lowered as (select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+            from runs group by all),
+bytes as (select run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda c:
+            case when unicode(c) < 128 then [unicode(c)::bigint]
+                 else [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] end)) as b from lowered),
+hashed as (select run, n, xor(list_reduce(list_concat([4294967295], b), lambda c, x:
+             xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as h from bytes, crc),
+changed as (select n, case when h % 199 = 0
+                           then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2)
+                           else run end as word from hashed),
+words as (select word, sum(n)::bigint as n from changed where length(word) >= 6 group by word having sum(n) >= 5),
+without as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+            from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (select a.word as a, b.word as b, b.n as b_n
+         from without a join without b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+         union select l.word, s.word, s.n from without l join words s on l.rest = s.word
+         union select s.word, l.word, l.n from without l join words s on l.rest = s.word),
+best as (select a as word, count(*) as n_near, max(b_n) as form_n, arg_min(b, (-b_n, b)) as form from near group by a),
+formed as (select words.word, n, coalesce(n_near, 0) as n_near,
+                  case when form_n >= 5 * n then form end as form, case when form_n >= 5 * n then form_n end as form_n
+           from words left join best using (word)),
+walk as (select word, word as at from formed
+         union all select walk.word, formed.form from walk join formed on walk.at = formed.word
+         where formed.form is not null),
+roots as (select walk.word, walk.at as root from walk join formed on walk.at = formed.word where formed.form is null)
+select word, form, root, n, n_near, form_n from formed join roots using (word)
+"""
