@@ -7,10 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logpipe.llm import (decontaminate, langid, linededup, mixing, pack, passages, quality, simhash,
-                         spelling, substrings, tokencount, topk)
+from logpipe.llm import (decontaminate, langid, linededup, mixing, negatives, pack, passages, quality,
+                         simhash, spelling, substrings, tokencount, topk)
 from logpipe.llm.common import prepare, table
-from logpipe.llm.sql import DECONTAMINATION_SQL, LINE_DEDUP_SQL, SPELLING_SQL, TOP_K_SQL
+from logpipe.llm.sql import DECONTAMINATION_SQL, HARD_NEGATIVES_SQL, LINE_DEDUP_SQL, SPELLING_SQL, TOP_K_SQL
 
 #: Where the public tokenizer files are; the package that describes them lies there itself.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -103,12 +103,19 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(words_with_misspellings(table(spark, sf_dir, "documents")))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, one label in seven rows moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source targets of 150% of their words."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_substrings, op3_line_dedup, op4_passages, op5_token_counts, op6_language,
-                                   op7_pack, op8_top_k, op9_decontaminate, op10_quality, op11_spelling, op13_mix)}
+                                   op7_pack, op8_top_k, op9_decontaminate, op10_quality, op11_spelling,
+                                   op12_negatives, op13_mix)}
 ORACLE_SQL = {"op3_line_dedup": LINE_DEDUP_SQL, "op8_top_k": TOP_K_SQL, "op9_decontaminate": DECONTAMINATION_SQL,
-              "op11_spelling": SPELLING_SQL}
+              "op11_spelling": SPELLING_SQL, "op12_negatives": HARD_NEGATIVES_SQL}

@@ -107,3 +107,23 @@ walk as (select word, word as at from formed
 roots as (select walk.word, walk.at as root from walk join formed on walk.at = formed.word where formed.form is null)
 select word, form, root, n, n_near, form_n from formed join roots using (word)
 """
+
+HARD_NEGATIVES_SQL = """
+with rows as (select row_number() over () as r, vec_id,
+                     case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                     list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+              from embeddings where vec_id is not null and label is not null and embedding is not null
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select a.r, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+                  list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
+           from rows a join rows b on a.r <> b.r where a.vec_id % 100 = 0),
+positive as (select r, anchor_id, vec_id as positive_id, score as positive_score,
+                    row_number() over (partition by r order by score desc, vec_id) as p
+             from scored where same qualify p <= 5)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score
+from (select positive.anchor_id, positive_id, positive_score, vec_id as negative_id, score as negative_score,
+             row_number() over (partition by positive.r, p order by score desc, vec_id) as rank
+      from positive join scored on positive.r = scored.r and not same
+       and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+where rank <= 10
+"""

@@ -1,118 +1,151 @@
 """Exact top-k inner products by tiled matrix products.
 
-Queries and candidates are dealt to tiles by a hash of their id.  Every
-(query tile, candidate tile) cell multiplies two bounded matrices, keeps each
-query's best k of that cell, and the cells' lists are merged per query.
+Queries are broadcast in bounded blocks.  Each task multiplies a block with
+its candidates, tile by tile, selects what may be among each query's best k
+of a tile, and keeps every query's list over its tiles; the tasks' lists are
+merged in parts, and the parts' lists into one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logpipe.llm.common import prepare, store
+from logpipe.llm.covertree import LONG_MAX, PLAIN_NORM, exact, norms, quantise
 
-#: Mean rows of a query tile and of a candidate tile.
+#: Rows of a query tile and of a candidate tile.
 QUERY_TILE = 1024
 CANDIDATE_TILE = 4096
-#: Elements of one partial product held at once.
-PRODUCT_AT_ONCE = 1 << 22
+#: Bytes of the vectors of a block of queries that is broadcast.
+BLOCK_BYTES = 4 << 20
+#: Parts in which the tasks' lists of one query are merged first.
+MERGE_PARTS = 32
 
+_FOUND = "query_id long, vec_id long, score long"
 
-def quantise(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of every component as longs; NULL when the vector takes no part.
 
-    A vector takes no part when it is NULL or holds a NULL or a component
-    that is not finite (or too large for a long once scaled).
-    """
-    scaled = F.transform(vector, lambda x: F.lit(float(scale)) * x.cast("double"))
-    fine = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(9.2e18)))
-    return F.when(fine, F.transform(scaled, lambda x: F.floor(x).cast("long")))
+def vectors(col: pa.ChunkedArray | pa.Array, scale: float) -> np.ndarray:
+    """floor(scale * x) of every component, one vector a row."""
+    if isinstance(col, pa.ChunkedArray):
+        col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.list_(pa.float64()))
+    return quantise(col.flatten().to_numpy(zero_copy_only=False), np.diff(col.offsets.to_numpy()), scale)
+
+
+def usable(vector: str):
+    """Whether a vector takes part: it is not NULL, and all its components are there and finite."""
+    return F.col(vector).isNotNull() & F.forall(
+        vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
 
+def product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """q @ c.T as whole numbers, held at the ends of a long.
 
-def _matrix(col: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Integer vectors as rows, short ones filled up with zeros."""
-    out = np.zeros((len(col), width), np.int64)
-    flat = col.combine_chunks()
-    lengths = np.diff(flat.offsets.to_numpy())
-    out[np.arange(width)[None, :] < lengths[:, None]] = flat.flatten().to_numpy(zero_copy_only=False)
+    Rows of moderate norm are multiplied in doubles, where no sum leaves
+    2**53; products with larger rows are worked out one by one.
+    """
+    width = min(q.shape[1], c.shape[1])
+    q_plain, c_plain = norms(q) <= PLAIN_NORM, norms(c) <= PLAIN_NORM
+    if q_plain.all() and c_plain.all():
+        return (q[:, :width] @ c[:, :width].T).astype(np.int64)
+    out = np.zeros((len(q), len(c)), np.int64)
+    out[np.ix_(q_plain, c_plain)] = (q[q_plain, :width] @ c[c_plain, :width].T).astype(np.int64)
+    for i in np.flatnonzero(~q_plain):
+        out[i] = exact(c, q[i]).astype(np.int64)
+    for j in np.flatnonzero(~c_plain):
+        out[q_plain, j] = exact(q[q_plain], c[j]).astype(np.int64)
     return out
 
 
-def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """q @ c.T exactly: in doubles where no sum can leave 2**53, else in whole numbers."""
-    reach = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    if reach < 2 ** 53:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    if reach < 2 ** 63:
-        return q @ c.T
-    raise ValueError("an inner product could leave the range of a long")
-
-
-def _cell(k: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            order = np.argsort(right.column("vec_id").to_numpy(), kind="stable")
-            right = right.take(pa.array(order))
-            width = max(int(max(np.diff(t.column("v").combine_chunks().offsets.to_numpy()), default=0))
-                        for t in (left, right))
-            q_id, c_id = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-            q, c = _matrix(left.column("v"), width), _matrix(right.column("v"), width)
-            step = max(1, PRODUCT_AT_ONCE // len(c_id))
-            for i in range(0, len(q_id), step):
-                score = _product(q[i:i + step], c)
-                for j, row in enumerate(score):
-                    me = q_id[i + j]
-                    # candidates are in id order, so of equal scores the smaller ids come first
-                    at = np.flatnonzero(c_id != me)
-                    mine = row[at]
-                    if len(at) > k:
-                        edge = np.partition(mine, len(mine) - k)[len(mine) - k]
-                        above, level = np.flatnonzero(mine > edge), np.flatnonzero(mine == edge)
-                        take = np.r_[above, level[:k - len(above)]]
-                        at, mine = at[take], mine[take]
-                    found["query_id"].append(np.full(len(at), me))
-                    found["vec_id"].append(c_id[at])
-                    found["score"].append(mine)
-        return pa.table({n: pa.array(np.concatenate(x) if x else np.array([], np.int64), pa.int64())
-                         for n, x in found.items()})
+class Lists:
+    """Every query's best ``k`` (score, id) so far, higher scores and then smaller ids first."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.need = np.full(len(ids), -LONG_MAX - 1)
+        self.held: list[list[tuple[int, int]]] = [[] for _ in ids]
+
+    def add(self, first: int, score: np.ndarray, ident: np.ndarray) -> None:
+        """Scores of the queries from number ``first`` on with one tile of candidates."""
+        last = first + len(score)
+        own = self.ids[first:last, None] == ident[None, :]
+        score[own] = -LONG_MAX - 1
+        need = self.need[first:last]
+        if score.shape[1] > self.k:
+            need = np.maximum(need, np.partition(score, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k])
+        hit = (score >= need[:, None]) & ~own
+        for r in np.flatnonzero(hit.any(1)).tolist():
+            at, n = np.flatnonzero(hit[r]), first + r
+            if len(at) > self.k:
+                at = np.array(sorted(at.tolist(), key=lambda i: (-int(score[r, i]), ident[i]))[:self.k])
+            held = sorted(self.held[n] + [(-int(score[r, i]), int(ident[i])) for i in at.tolist()])[:self.k]
+            self.held[n] = held
+            if len(held) == self.k:
+                self.need[n] = -held[-1][0]
+
+
+def _search(shared, k: int, scale: float):
+    def run(batches):
+        ids, q = shared.value
+        lists = Lists(ids, k)
+        for b in batches:
+            for start in range(0, b.num_rows, CANDIDATE_TILE):
+                tile = b.slice(start, CANDIDATE_TILE)
+                c, ident = vectors(tile.column("v"), scale), tile.column("vec_id").to_numpy()
+                for i in range(0, len(q), QUERY_TILE):
+                    lists.add(i, product(q[i:i + QUERY_TILE], c), ident)
+        found = [(int(ids[n]), i, -s) for n, held in enumerate(lists.held) for s, i in held]
+        for at in range(0, len(found), 4096):
+            query, vec, score = zip(*found[at:at + 4096])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (query, vec, score)],
+                                             ["query_id", "vec_id", "score"])
     return run
 
 
+def best_of(found: DataFrame, keys: list[str], k: int, ident: str) -> DataFrame:
+    """The best ``k`` rows of each key with their ``rank``; parts of the tasks' lists are merged first."""
+    order = (F.desc("score"), F.asc(ident))
+    parts = found.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGE_PARTS)))
+    first = parts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order)))
+    first = first.where(F.col("rank") <= k)
+    return (first.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+            .where(F.col("rank") <= k).drop("part"))
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str = "vec_id",
           vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` highest inner products.
 
-    Scores are whole numbers of ``quantise``d vectors; ties go to the smaller
-    id; a query's own id is no candidate.  Vectors that take no part (see
-    ``quantise``) and rows with a NULL id are left out on either side.  Rows
-    that repeat both id and vector count once.  Short vectors are filled up
-    with zeros.  Fewer candidates give fewer rows, empty tables none; other
-    columns are not read.
+    Scores are whole numbers of floor(``scale`` * x); ties go to the smaller
+    id; rows with a query's own id are no candidates for it.  Vectors that are
+    NULL or hold a NULL or a component that is not finite, and rows with a
+    NULL id, are left out on either side.  Every other row counts: a row that
+    is repeated is as many candidates, and queries of one id share one list,
+    in which each of them has its candidates.  Scores are exact; those past a
+    long's range count as its end.  Short vectors are filled up with zeros.
+    Fewer candidates give fewer rows, empty tables none; other columns are
+    not read.
     """
     spark = prepare(queries.sparkSession)
 
     def side(df: DataFrame) -> DataFrame:
-        return (df.select(F.col(id_col).cast("long").alias("vec_id"),
-                          quantise(F.col(vector_col), scale).alias("v"))
-                .where("vec_id is not null and v is not null").distinct())
-
-    q, c = store(side(queries)), store(side(candidates))
-    q_tiles = max(1, -(-q.count() // QUERY_TILE))
-    c_tiles = max(1, -(-c.count() // CANDIDATE_TILE))
-
-    def dealt(df: DataFrame, own: str, own_tiles: int, other: str, other_tiles: int) -> DataFrame:
-        # each row meets every tile of the other side once
-        return (df.withColumn(own, F.pmod(F.xxhash64("vec_id", "v"), F.lit(own_tiles)).cast("int"))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_tiles - 1)))))
-
-    qs = dealt(q, "q_tile", q_tiles, "c_tile", c_tiles)
-    cs = dealt(c, "c_tile", c_tiles, "q_tile", q_tiles)
-    best = qs.groupBy("q_tile", "c_tile").cogroup(cs.groupBy("q_tile", "c_tile")).applyInArrow(
-        _cell(k), "query_id long, vec_id long, score long")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+        return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")) \
+            .where(F.col("vec_id").isNotNull() & usable("v"))
+
+    q, c = store(side(queries)), side(candidates)
+    size = q.agg(F.sum(F.size("v") + 1)).first()[0] or 0
+    blocks = size * 8 // BLOCK_BYTES + 1
+    # equal rows are dealt apart by their place in the stored table
+    dealt = store(q.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))))
+    paths = []
+    for block in range(blocks):
+        t = dealt.where(F.col("block") == block).toArrow()  # about BLOCK_BYTES
+        if t.num_rows:
+            shared = spark.sparkContext.broadcast((t.column("vec_id").to_numpy(), vectors(t.column("v"), scale)))
+            paths.append(store(c.mapInArrow(_search(shared, k, scale), _FOUND)).stored_path)
+            shared.unpersist()
+    found = spark.read.schema(_FOUND).parquet(*paths) if paths else spark.createDataFrame([], _FOUND)
+    return best_of(found, ["query_id"], k, "vec_id").select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -5,52 +5,79 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from logpipe.llm import decontaminate, langid, quality, topk
+from logpipe.llm.sql import TOP_K_SQL
 
 
 # ------------------------------------------------------------------ top-k
+LONG = 2 ** 63 - 1
+
+
 def slow_top(vectors, queries, k):
+    """Every row counts; queries of one id share a list."""
     def ints(v):
         return None if v is None or any(x is None or not math.isfinite(x) for x in v) else [
             math.floor(1024 * x) for x in v]
-    usable = {(i, tuple(ints(v))) for i, v in vectors if i is not None and ints(v) is not None}
-    out = set()
-    for q, qv in usable:
-        if q in queries:
-            scored = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in usable if i != q)
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])}
+    usable = [(i, ints(v)) for i, v in vectors if i is not None and ints(v) is not None]
+    out = Counter()
+    for q in sorted({i for i, _ in usable if i in queries}):
+        scored = sorted((-max(-LONG - 1, min(LONG, sum(a * b for a, b in zip(qv, v)))), i)
+                        for me, qv in usable if me == q for i, v in usable if i != q)
+        out.update((q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k]))
     return out
 
 
-@pytest.mark.parametrize("tiles", [(1024, 4096, 1 << 22), (2, 7, 10)])
+@pytest.mark.parametrize("tiles", [(1024, 4096, 4 << 20), (2, 7, 100)])
 def test_top_k(spark, monkeypatch, tiles):
-    for name, value in zip(("QUERY_TILE", "CANDIDATE_TILE", "PRODUCT_AT_ONCE"), tiles):
+    for name, value in zip(("QUERY_TILE", "CANDIDATE_TILE", "BLOCK_BYTES"), tiles):
         monkeypatch.setattr(topk, name, value)
     rng = random.Random(3)
     vectors = [(i, [rng.choice([-0.5, 0.0, 0.25, 0.3, 1.0]) for _ in range(4)]) for i in range(60)]
     vectors += [(60, None), (61, [1.0, None, 0.0, 0.0]), (62, [float("nan"), 0.0, 0.0, 0.0]),
-                (63, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (3, vectors[3][1]), (70, [0.5, 0.5]), (71, [])]
+                (63, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (70, [0.5, 0.5]), (71, [])]
+    vectors += [(3, vectors[3][1]), (5, vectors[5][1]), (5, [1.0, 1.0, 1.0, 1.0]), (10, vectors[10][1])] + [vectors[7]] * 20
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)) \
-        .withColumn("q_tile", F.lit(1))
+        .withColumn("block", F.lit(1)).withColumn("rank", F.lit(1)).repartition(3)
     ids = {i for i in range(0, 72, 5)}
     got = topk.top_k(df.where("vec_id % 5 = 0"), df, 10)
     as32 = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in vectors]
-    assert {tuple(r) for r in got.collect()} == slow_top(as32, ids, 10)
-    assert topk.top_k(df.where("false"), df).count() == 0
-    assert {tuple(r) for r in topk.top_k(df.where("vec_id = 5"), df.where("vec_id < 4")).collect()} == {
-        t for t in slow_top([x for x in as32 if x[0] is not None and (x[0] < 4 or x[0] == 5)], {5}, 10)}
+    assert Counter(tuple(r) for r in got.collect()) == slow_top(as32, ids, 10)
+    assert topk.top_k(df.where("false"), df).count() == topk.top_k(df, df.where("false")).count() == 0
+    small = topk.top_k(df.where("vec_id = 5"), df.where("vec_id < 4"))
+    few = [(i, v) for i, v in as32 if i is not None and (i < 4 or i == 5)]
+    assert Counter(tuple(r) for r in small.collect()) == slow_top(few, {5}, 10)
+
+
+def test_top_k_of_large_components(spark):
+    vectors = [(0, [4e15, 1.0]), (5, [4e15, -3.0]), (1, [4e15, 2.0]), (2, [1e18, 2.0]), (3, [2.0, 1e300]), (4, [0.002, 3.0]),
+               (6, [0.001, -7.0]), (7, [1.0, 2.0]), (10, [0.25, 0.5])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert Counter(tuple(r) for r in topk.top_k(df.where("vec_id % 5 = 0"), df, 5).collect()) == slow_top(vectors, {0, 5, 10}, 5)
+
+
+def test_top_k_equals_its_sql_on_repeated_rows(spark):
+    rng = random.Random(9)
+    vectors = [(rng.randint(0, 250), [rng.choice([0.0, 0.5, rng.random()]) for _ in range(6)]) for _ in range(200)]
+    vectors += rng.sample(vectors, 80) + [(0, vectors[1][1]), (100, vectors[0][1]), (200, [1.0] * 6), (200, [1.0] * 6)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    embeddings = df.toArrow()  # noqa: F841  read by the SQL
+    want = duckdb.sql(TOP_K_SQL).fetchall()
+    got = topk.top_k(df.where("vec_id % 100 = 0"), df)
+    columns = [d[0] for d in duckdb.sql(TOP_K_SQL).description]
+    assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want) and len(want) == 30
 
 
 def test_products_of_large_numbers_are_exact():
-    q, c = np.array([[2 ** 30, 3]]), np.array([[2 ** 31, 1], [1, 1]])
-    assert topk._product(q, c).tolist() == [[2 ** 61 + 3, 2 ** 30 + 3]]
-    with pytest.raises(ValueError):
-        topk._product(q * 4, c * 4)
+    q, c = np.array([[2.0 ** 30, 3]]), np.array([[2.0 ** 31, 1], [1, 1]])
+    assert topk.product(q, c).tolist() == [[2 ** 61 + 3, 2 ** 30 + 3]]
+    assert topk.product(q * 4, c * 4).tolist() == [[LONG, 2 ** 34 + 48]]
 
 
 # ------------------------------------------------------------------ decontamination
