@@ -20,26 +20,6 @@ def _as_variant(name: str, dtype: str) -> Column:
     return col.cast("variant")
 
 
-def event_map(extra: dict[str, Column] | None = None) -> Column:
-    """One ``map<string,variant>`` with every present key of the event.
-
-    A non-NULL promoted column wins over the same key in ``attrs`` (see
-    ``logpipe.schema``); ``extra`` entries are added only where the key is
-    absent.
-    """
-    entries = F.array(*[F.struct(F.lit(n).alias("key"), _as_variant(n, t).alias("value"))
-                        for n, t in EVENT_COLUMNS])
-    present = F.filter(entries, lambda e: e["value"].isNotNull())
-    promoted = F.map_from_entries(present)
-    shadowed = F.transform(present, lambda e: e["key"])
-    rest = F.map_filter(F.col(ATTRS), lambda k, v: ~F.array_contains(shadowed, k))
-    m = F.map_concat(promoted, rest)
-    for key, value in (extra or {}).items():
-        m = F.when(F.map_contains_key(m, key), m).otherwise(
-            F.map_concat(m, F.create_map(F.lit(key), value.cast("variant"))))
-    return m
-
-
 def event_json(extra: dict[str, Column] | None = None) -> Column:
     """Compact JSON of the whole event with sorted keys, without lambda functions.
 

@@ -6,12 +6,12 @@ Two deterministic strategies, neither of which funnels rows through one task:
   order key (a hot source is split like any other), numbered inside each
   bucket and cut every ``batch_size`` rows.  One shuffle; the batch grouping
   reuses its partitioning.
-* ``assign_global_batches`` (global order): consecutive runs of
-  ``batch_size`` rows in the global order of a unique key, as one ordered
-  buffer would cut them.  Rows are split into key ranges at the key's
-  quantiles, numbered within their range, and offset by the sizes of the
-  preceding ranges; the offset table has one row per range, so
-  broadcasting it is bounded by the partition count.
+* ``assign_global_batches`` (global order): consecutive runs of ``batch_size``
+  rows in the global order of a unique key, as one ordered buffer would cut
+  them.  The rows are written once; sizes and places are found on the key
+  column alone, and the rows then go to ranges of the key that begin and end
+  with a batch.  One shuffle of the rows, whose number of ranges follows
+  from their count; the batch grouping reuses its partitioning.
 """
 
 from __future__ import annotations
@@ -21,7 +21,11 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logpipe.session import write_once
+
 BUCKET, BATCH, SEQ = "_bucket", "_batch", "_seq"
+#: Rows of one key range of global batches.
+RANGE_ROWS = 50_000
 _FAN = 16  # branches of a node in the search for a key's range
 
 
@@ -73,37 +77,45 @@ def _add_range(df: DataFrame, key: str, bounds: list) -> DataFrame:
 
 def assign_global_batches(df: DataFrame, batch_size: int, order_by: list[str],
                           partitions: int | None = None) -> DataFrame:
-    """Add ``_batch`` = global position div ``batch_size`` and ``_seq``.
-
-    The (unique, orderable) key's range bounds are its approximate quantiles,
-    computed once when the plan is built: ``partitions - 1`` values, so the
-    list the driver holds is bounded by the partition count, not by the data.
-    Every later step is a deterministic function of the key, so a recomputed
-    task lands its rows in the same range and position.
+    """Add ``_bucket`` (the key range), ``_batch`` = global position div ``batch_size`` and ``_seq``.
+
+    ``df`` is evaluated once, into the shared checkpoint folder; ranges have
+    ``RANGE_ROWS`` rows, or there are about ``partitions`` of them.  The (unique,
+    orderable) key's approximate quantiles split its column for counting; the
+    exact keys that end every range are then collected: as many as there are
+    ranges, not as the data has rows.  Every later step is a deterministic
+    function of the key, so a recomputed task lands its rows in the same
+    range and position.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
     if len(order_by) != 1:
         raise ValueError("global batching orders by one unique column")
-    n = max(1, partitions or default_buckets(df))
-    key = order_by[0]
-    bounds: list = []
-    if n > 1:
-        probs = [i / n for i in range(1, n)]
-        got = df.agg(F.percentile_approx(key, probs, max(10_000, 20 * n)).alias("q")).first()["q"]
-        bounds = sorted(set(v for v in (got or []) if v is not None))
-    # neighbouring ranges go to neighbouring tasks, about one each
-    ranged = _add_range(df, key, bounds).repartitionByRange(n, "_range")
-    pos = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    sizes = _add_range(df.select(key), key, bounds).groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    key, rows = order_by[0], write_once(df)
+    n = rows.count()
+    per_range = -(-n // partitions) if partitions else RANGE_ROWS
+    per_range = max(1, per_range // batch_size) * batch_size
+    ranges = -(-n // per_range)
+    bounds = _range_ends(rows.select(key), key, per_range, ranges) if ranges > 1 else []
+    pos = F.row_number().over(Window.partitionBy(BUCKET).orderBy(key)) - 1
+    placed = _add_range(rows, key, bounds).withColumnRenamed("_range", BUCKET).withColumn("_pos", pos)
+    rank = F.col(BUCKET).cast("bigint") * per_range + F.col("_pos")
+    return (placed.withColumn(BATCH, F.floor(rank / F.lit(batch_size)).cast("bigint"))
+                  .withColumn(SEQ, (F.col("_pos") % F.lit(batch_size)).cast("int"))
+                  .withColumn(BUCKET, F.col(BUCKET).cast("bigint")).drop("_pos"))
+
+
+def _range_ends(keys: DataFrame, key: str, per_range: int, ranges: int) -> list:
+    """The keys at the last place of every range but the last."""
+    probs = [i / ranges for i in range(1, ranges)]
+    got = keys.agg(F.percentile_approx(key, probs, max(10_000, 20 * ranges)).alias("q")).first()["q"]
+    near = _add_range(keys, key, sorted(set(v for v in (got or []) if v is not None)))
+    sizes = near.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    ranked = (ranged.withColumn("_pos", pos).join(F.broadcast(offsets), "_range")
-              .withColumn("_rank", F.col("_off") + F.col("_pos")))
-    return (ranked.withColumn(BUCKET, F.lit(0).cast("bigint"))
-                  .withColumn(BATCH, F.floor(F.col("_rank") / F.lit(batch_size)).cast("bigint"))
-                  .withColumn(SEQ, (F.col("_rank") % F.lit(batch_size)).cast("int"))
-                  .drop("_range", "_pos", "_off", "_rank"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) + F.col("_off")
+    ends = near.join(F.broadcast(offsets), "_range").withColumn("_place", place).where(F.col("_place") % per_range == 0)
+    return [r[0] for r in ends.orderBy("_place").select(key).limit(ranges - 1).collect()]
 
 
 def collect_batches(batched: DataFrame, payload_col: str, extra_aggs: list[Column] = ()) -> DataFrame:

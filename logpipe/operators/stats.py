@@ -72,3 +72,23 @@ def throughput(flagged: DataFrame, interval: str = "30 seconds", by_source: bool
     if by_source:
         cols.append(F.col("source"))
     return agg.select(*cols, "processed", "dropped", "kept")
+
+
+def interval_counts(flagged: DataFrame, interval: str = "30 seconds", late_before: Column | None = None,
+                    arrived: Column | None = None) -> DataFrame:
+    """A2 of all lines: (window_start, window_end, source, basis, processed, dropped, kept).
+
+    ``basis`` says what put a line into its window: its ``event`` time; its
+    event time before ``late_before``, ``late``; or, for lines without a
+    timestamp (too-long ones included), when they ``arrived`` (default now).
+    So the counts add up to A1, whatever the lines hold.
+    """
+    time = F.col("timestamp")
+    late = F.lit(False) if late_before is None else F.coalesce(time < late_before, F.lit(False))
+    basis = F.when(time.isNull(), "arrival").when(late, "late").otherwise("event")
+    at = F.coalesce(time, F.current_timestamp() if arrived is None else arrived)
+    return (flagged.withColumns({"basis": basis, "_at": at})
+            .groupBy(F.window("_at", interval).alias("window"), "source", "basis")
+            .agg(*counter_columns(), F.count_if(F.col(KEEP)).alias("kept"))
+            .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                    "source", "basis", "processed", "dropped", "kept"))

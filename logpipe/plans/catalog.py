@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logpipe.functions.encode import event_json, event_map
+from logpipe.functions.encode import event_json
 from logpipe.functions.levels import facility_name
 from logpipe.functions.timestamps import parse_timestamp
 from logpipe.operators import fields
@@ -66,7 +66,7 @@ def doc_lines(spark, sf_dir) -> DataFrame:
 
 
 def key_list() -> Column:
-    return F.array_join(F.array_sort(F.map_keys(event_map())), ",")
+    return F.array_join(F.array_sort(F.json_object_keys(event_json())), ",")
 
 
 # SQL fragments (DuckDB)

@@ -19,7 +19,7 @@ from logpipe.operators.stats import KEEP
 from logpipe.operators.transforms import apply_transforms
 from logpipe.plans.spec import JobSpec, PipelineSpec, SourceSpec
 from logpipe.schema import LINE_RAW
-from logpipe.sources.lines import TOO_LONG, fan_in, mark_too_long, read_lines
+from logpipe.sources.lines import TOO_LONG, fan_in, follow_lines, mark_too_long, read_lines
 
 
 @dataclass
@@ -59,18 +59,25 @@ def build_from_lines(lines_by_source: list[tuple[DataFrame, SourceSpec | None]],
 
 
 def source_lines(spark: SparkSession, src: SourceSpec, stream: bool = False,
-                 max_files_per_trigger: int | None = None) -> DataFrame:
+                 max_files_per_trigger: int | None = None, state: str | None = None) -> DataFrame:
+    if stream and src.follow:
+        path = src.path if not src.path_glob else f"{src.path.rstrip('/')}/{'**/' if src.recursive else ''}{src.path_glob}"
+        return follow_lines(spark, path, src.name, clean_name=src.clean_name, starting_position=src.starting_position,
+                            max_line_length=src.max_line_length, max_bytes_per_trigger=src.max_bytes_per_trigger,
+                            state=state)
     return read_lines(spark, src.path, src.name, recursive=src.recursive, path_glob=src.path_glob,
                       stream=stream, clean_name=src.clean_name, max_files_per_trigger=max_files_per_trigger)
 
 
 def build(spark: SparkSession, job: JobSpec, stream: bool = False,
-          max_files_per_trigger: int | None = None) -> Plan:
+          max_files_per_trigger: int | None = None, state: str | None = None) -> Plan:
+    """The job's plan; ``state`` is a shared folder where followed sources (S3) note what they follow."""
     job.validate()
     if not job.sources:
         raise ValueError("no sources: pass a lines DataFrame to build_from_lines instead")
     return build_from_lines(
-        [(source_lines(spark, s, stream, max_files_per_trigger), s) for s in job.sources], job.pipeline)
+        [(source_lines(spark, s, stream, max_files_per_trigger, state and f"{state}/{i}"), s)
+         for i, s in enumerate(job.sources)], job.pipeline)
 
 
 def run_pipeline(lines: DataFrame, pipeline: PipelineSpec) -> DataFrame:

@@ -28,6 +28,9 @@ class SourceSpec:
     recursive: bool = False            # S2
     path_glob: str | None = None       # S2: e.g. "*.log"
     clean_name: bool = False           # S6b: label trimmed of "." and "_"
+    follow: bool = False               # S3: on a stream, read appended lines, through rotation
+    starting_position: str = "earliest"     # follow: "latest" skips what is there at the first start
+    max_bytes_per_trigger: int | None = None    # follow: bytes of one micro-batch
 
 
 @dataclass(frozen=True)
@@ -51,19 +54,24 @@ class JobSpec:
     sources: tuple[SourceSpec, ...] = ()
     pipeline: PipelineSpec = field(default_factory=PipelineSpec)
     outputs: tuple[OutputSpec, ...] = (OutputSpec(type="stdout"),)
+    counts_only: bool = False          # no outputs: only totals and intervals
 
     def validate(self) -> "JobSpec":
         seen = set()
         for src in self.sources:
             if not src.path:
                 raise ValueError("every source needs a path")
+            if src.starting_position not in ("earliest", "latest"):
+                raise ValueError(f"unknown starting position {src.starting_position!r}; known are earliest, latest")
             if src.name:
                 if src.name in seen:
                     raise ValueError(f"two sources are called {src.name!r}")
                 seen.add(src.name)
-        if not self.outputs:
+        if not self.outputs and not self.counts_only:
             raise ValueError("a job needs an output")
         for i, out in enumerate(self.outputs):
+            if out.order_by and out.type != "webhook":
+                raise ValueError(f"output {i} ({out.type}) cannot be ordered; only webhook requests can")
             if not out.type:
                 raise ValueError(f"output {i} has no type")
             if out.type not in OUTPUT_TYPES:
@@ -76,6 +84,10 @@ class JobSpec:
         return self
 
 
+    def with_outputs(self, outputs: tuple[OutputSpec, ...]) -> "JobSpec":
+        return JobSpec(self.sources, self.pipeline, outputs, counts_only=not outputs)
+
+
 def _get(d: dict, *keys, default=None):
     for k in keys:
         if k in d and d[k] is not None:
@@ -87,14 +99,15 @@ def _get(d: dict, *keys, default=None):
 _KEYS = {
     "configuration": {"sources", "pipeline", "outputs"},
     "source": {"path", "name", "parse", "maxLineLength", "max_line_length", "priority", "recursive",
-               "pathGlob", "path_glob", "cleanName", "clean_name"},
+               "pathGlob", "path_glob", "cleanName", "clean_name", "follow", "startingPosition",
+               "starting_position", "maxBytesPerTrigger", "max_bytes_per_trigger"},
     "pipeline": {"parse", "minLevel", "min_level", "includeRegex", "include_regex", "excludeRegex",
                  "exclude_regex", "drop", "expr", "transforms", "referenceYear", "reference_year",
                  "timeZone", "time_zone"},
     "output": {"type", "url", "index", "topic", "maxRecordsPerFile", "max_records_per_file", "maxSize",
                "max_bytes_per_file", "compress", "bufferSize", "buffer_size", "flushInterval",
                "flush_interval", "batchSize", "batch_size", "headers", "username", "password",
-               "compression", "retryMax", "retry_max", "color"},
+               "compression", "retryMax", "retry_max", "orderBy", "order_by", "color"},
 }
 
 
@@ -120,7 +133,10 @@ def from_dict(cfg: dict) -> JobSpec:
                                             default=DEFAULT_MAX_LINE_LENGTH) or DEFAULT_MAX_LINE_LENGTH),
                    priority=_get(s, "priority"), recursive=bool(_get(s, "recursive", default=False)),
                    path_glob=_get(s, "pathGlob", "path_glob"),
-                   clean_name=bool(_get(s, "cleanName", "clean_name", default=False)))
+                   clean_name=bool(_get(s, "cleanName", "clean_name", default=False)),
+                   follow=bool(_get(s, "follow", default=False)),
+                   starting_position=_get(s, "startingPosition", "starting_position", default="earliest"),
+                   max_bytes_per_trigger=_get(s, "maxBytesPerTrigger", "max_bytes_per_trigger"))
         for s in cfg.get("sources") or [])
     p = cfg.get("pipeline") or {}
     drop = p.get("drop")
@@ -149,6 +165,7 @@ def from_dict(cfg: dict) -> JobSpec:
                    headers=dict(_get(o, "headers", default={}) or {}),
                    username=_get(o, "username"), password=_get(o, "password"),
                    compression=_get(o, "compression"),
-                   retry_max=int(_get(o, "retryMax", "retry_max", default=3) or 3))
+                   retry_max=int(_get(o, "retryMax", "retry_max", default=3) or 3),
+                   order_by=_get(o, "orderBy", "order_by"))
         for o in (cfg["outputs"] if "outputs" in cfg else [{"type": "stdout"}]))
     return JobSpec(sources, pipeline, outputs)

@@ -1,187 +1,57 @@
-"""HTTP delivery with retries, run on the executors.
+"""Deliver events over HTTP, from the executors.
 
-Each task takes its own rows, cuts them into bodies of at most
-``batch_size`` events and posts them; nothing is gathered on the driver and
-no shuffle is needed.  The transport is a picklable callable
-``(method, url, body: bytes, headers: dict, timeout: float) -> (status, text)``
-so tests inject a fake one (no port is opened).
+Each task takes its own rows, cuts them into bodies of at most ``batch_size``
+events and posts them; nothing is gathered on the driver and no shuffle is
+needed.  Webhook batches in a key's order are numbered first (one shuffle).
 """
 
 from __future__ import annotations
 
-import base64
-import json
 import time
-import urllib.error
-import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logpipe.functions.encode import event_json
-from logpipe.session import ship_package
-from logpipe.sinks.payloads import bulk_payload, envelope_text
+from logpipe.sinks.payloads import bulk_payload, webhook_batches
+from logpipe.sinks.posting import (  # noqa: F401
+    DEFAULT_RETRY_MAX, Transport, bulk_headers, http_transport, post_bulk, rejected_items, send_bulk, send_with_retry,
+)
+from logpipe.sinks.writers import write_http
 
-Transport = Callable[[str, str, bytes, dict, float], tuple[int, str]]
-RESULT_SCHEMA = "events long, ok boolean, attempts int, failed_items long, error string"
-DEFAULT_TIMEOUT = 30.0
-DEFAULT_RETRY_MAX = 3
 
+def deliver_webhook(events: DataFrame, url: str, headers: dict | None = None, batch_size: int = 50,
+                    retry_max: int = DEFAULT_RETRY_MAX, transport: Transport = http_transport,
+                    sleep: Callable[[float], None] = time.sleep, order_by: str | None = None, **ledger) -> dict:
+    """O5 + O8: post every event, ``batch_size`` per request, per task; in runs of the order of a unique key if given.
 
-def http_transport(method: str, url: str, body: bytes, headers: dict, timeout: float) -> tuple[int, str]:
-    req = urllib.request.Request(url, data=body, method=method, headers=headers)
-    try:
-        with urllib.request.urlopen(req, timeout=timeout) as resp:
-            return resp.status, resp.read().decode("utf-8", "replace")
-    except urllib.error.HTTPError as e:
-        return e.code, e.read().decode("utf-8", "replace")
-
-
-def send_with_retry(transport: Transport, url: str, body: bytes, headers: dict,
-                    retry_max: int = DEFAULT_RETRY_MAX, timeout: float = DEFAULT_TIMEOUT,
-                    sleep: Callable[[float], None] = time.sleep) -> tuple[bool, int, str | None, str]:
-    """Attempts 0..retry_max, sleeping 2^attempt s before each retry; status >= 400 fails.
-
-    Returns ``(ok, attempts, error, last_reply_text)``.
-    """
-    last_err, text = None, ""
-    for attempt in range(retry_max + 1):
-        if attempt > 0:
-            sleep(float(2 ** attempt))
-        try:
-            status, text = transport("POST", url, body, headers, timeout)
-        except Exception as e:  # network error
-            last_err = f"{type(e).__name__}: {e}"
-            continue
-        if status < 400:
-            return True, attempt + 1, None, text
-        last_err = f"HTTP {status}: {text[:200]}"
-    return False, retry_max + 1, last_err, text
-
-
-def _chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[list[str]]:
-    buf: list[str] = []
-    for pdf in batches:
-        for v in pdf["value"].tolist():
-            buf.append(v)
-            if len(buf) == size:
-                yield buf
-                buf = []
-    if buf:
-        yield buf
-
-
-def _result(events: int, ok: bool, attempts: int, failed_items: int, err: str | None) -> pd.DataFrame:
-    return pd.DataFrame({"events": [events], "ok": [ok], "attempts": [attempts],
-                         "failed_items": [failed_items], "error": [err]})
-
-
-def webhook_sender(url: str, headers: dict | None, batch_size: int, retry_max: int,
-                   transport: Transport, timeout: float = DEFAULT_TIMEOUT,
-                   sleep: Callable[[float], None] = time.sleep):
-    hdrs = {"Content-Type": "application/json", **(headers or {})}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk in _chunks(batches, batch_size):
-            stamp = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
-            body = envelope_text(chunk, stamp).encode()
-            ok, attempts, err, _ = send_with_retry(transport, url, body, hdrs, retry_max, timeout, sleep)
-            yield _result(len(chunk), ok, attempts, 0 if ok else len(chunk), err)
-    return run
-
-
-def rejected_items(text: str, n: int) -> tuple[list[int], list[int]]:
-    """(positions worth retrying, positions rejected for good) of a bulk reply to ``n`` items.
-
-    An item may be retried when the server was busy or failed (429, 5xx).
+    Returns the totals (``writers.COUNTS``); ``ledger`` names sink and batch (see ``writers.write_http``).
     """
-    try:
-        reply = json.loads(text) if text else {}
-    except ValueError:
-        return [], []
-    if not isinstance(reply, dict) or not reply.get("errors"):
-        return [], []
-    again, lost = [], []
-    for i, item in enumerate((reply.get("items") or [])[:n]):
-        result = next((v for v in (item or {}).values() if isinstance(v, dict)), {})
-        status = result.get("status")
-        if result.get("error") or isinstance(status, int) and status >= 400:
-            busy = isinstance(status, int) and (status == 429 or status >= 500)
-            (again if busy else lost).append(i)
-    return again, lost
-
-
-def send_bulk(items: list[str], transport: Transport, url: str, headers: dict, retry_max: int,
-              timeout: float = DEFAULT_TIMEOUT,
-              sleep: Callable[[float], None] = time.sleep) -> tuple[int, int, str | None]:
-    """(attempts, items not stored, error): only items that may yet succeed are posted again."""
-    lost, err, waiting = 0, None, items
-    for attempt in range(retry_max + 1):
-        if attempt > 0:
-            sleep(float(2 ** attempt))
-        try:
-            status, text = transport("POST", url, "".join(waiting).encode(), headers, timeout)
-        except Exception as e:  # network error
-            err = f"{type(e).__name__}: {e}"
-            continue
-        if status >= 400:
-            err = f"HTTP {status}: {text[:200]}"
-            continue
-        again, gone = rejected_items(text, len(waiting))
-        lost += len(gone)
-        if again or gone:
-            err = f"bulk: {len(again) + lost} item(s) rejected"
-        waiting = [waiting[i] for i in again]
-        if not waiting:
-            return attempt + 1, lost, err
-    return retry_max + 1, lost + len(waiting), err
+    if order_by:
+        batches = webhook_batches(events, batch_size, [order_by], global_order=True)
+        rows = batches.select("body", "count", F.concat_ws("-", "bucket", "batch").alias("name"))
+        return write_http(rows, "webhook", url, headers=headers, retry_max=retry_max,
+                          whole=True, transport=transport, sleep=sleep, **ledger)
+    return write_http(events.select(event_json().alias("value")), "webhook", url, headers=headers,
+                      batch_size=batch_size, retry_max=retry_max, transport=transport, sleep=sleep, **ledger)
 
 
-def bulk_sender(url: str, username: str | None, password: str | None, buffer_size: int,
-                retry_max: int, transport: Transport, timeout: float = DEFAULT_TIMEOUT,
-                sleep: Callable[[float], None] = time.sleep):
-    hdrs = {"Content-Type": "application/x-ndjson"}
-    if username:
-        token = base64.b64encode(f"{username}:{password or ''}".encode()).decode()
-        hdrs["Authorization"] = "Basic " + token
-    endpoint = url.rstrip("/") + "/_bulk"
+def bulk_texts(events: DataFrame, index_pattern: str | None = None) -> DataFrame:
+    """O3: action and document lines of every event, as one text."""
+    return bulk_payload(events, index_pattern).select(F.concat("action", F.lit("\n"), "doc", F.lit("\n")).alias("value"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk in _chunks(batches, buffer_size):
-            attempts, failed, err = send_bulk(chunk, transport, endpoint, hdrs, retry_max, timeout, sleep)
-            yield _result(len(chunk), not failed, attempts, failed, err if failed else None)
-    return run
 
-
-def summarise(results: DataFrame) -> dict:
-    """Driver-side totals of a delivery (one small row)."""
-    row = results.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("events"),
-                      F.count(F.lit(1)).alias("requests"),
-                      F.count_if(~F.col("ok")).alias("failed_requests"),
-                      F.coalesce(F.sum("failed_items"), F.lit(0)).alias("failed_events")).first()
-    return row.asDict()
-
-
-def deliver_webhook(events: DataFrame, url: str, headers: dict | None = None, batch_size: int = 50,
-                    retry_max: int = DEFAULT_RETRY_MAX, transport: Transport = http_transport,
-                    sleep: Callable[[float], None] = time.sleep) -> dict:
-    """O5 + O8: post every event, ``batch_size`` per request, per task."""
-    ship_package(events.sparkSession)
-    sender = webhook_sender(url, headers, batch_size, retry_max, transport, sleep=sleep)
-    results = events.select(event_json().alias("value")).mapInPandas(sender, RESULT_SCHEMA)
-    return summarise(results)
+def bulk_endpoint(url: str) -> str:
+    return url.rstrip("/") + "/_bulk"
 
 
 def deliver_bulk(events: DataFrame, url: str, index_pattern: str | None = None,
                  username: str | None = None, password: str | None = None,
                  buffer_size: int = 1000, retry_max: int = DEFAULT_RETRY_MAX,
                  transport: Transport = http_transport,
-                 sleep: Callable[[float], None] = time.sleep) -> dict:
-    """O3 + O8: NDJSON bulk requests of ``buffer_size`` events, per task."""
-    payload = bulk_payload(events, index_pattern)
-    lines = payload.select(F.concat("action", F.lit("\n"), "doc", F.lit("\n")).alias("value"))
-    ship_package(events.sparkSession)
-    sender = bulk_sender(url, username, password, buffer_size, retry_max, transport, sleep=sleep)
-    return summarise(lines.mapInPandas(sender, RESULT_SCHEMA))
+                 sleep: Callable[[float], None] = time.sleep, **ledger) -> dict:
+    """O3 + O8: NDJSON bulk requests of ``buffer_size`` events, per task; returns the totals."""
+    return write_http(bulk_texts(events, index_pattern), "bulk", bulk_endpoint(url),
+                      headers=bulk_headers(username, password), batch_size=buffer_size, retry_max=retry_max,
+                      transport=transport, sleep=sleep, **ledger)

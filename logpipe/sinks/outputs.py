@@ -2,19 +2,25 @@
 
 A sink is ``write(events_df, batch_id) -> failed_count``.  ``fan_out`` runs
 every sink on the same (persisted) micro-batch; a failing sink does not stop
-the others.
+the others.  With a ledger, a batch that is replayed goes only to the sinks
+that do not have it yet, and HTTP sinks post only what was not answered.
 """
 
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from logpipe.sinks import deliver
+from logpipe.sinks.ledger import Ledger
 from logpipe.sinks.payloads import console_payload, jsonl_payload, kafka_payload
 
 log = logging.getLogger("logpipe")
@@ -40,6 +46,7 @@ class OutputSpec:
     password: str | None = None
     compression: str | None = None      # kafka codec
     retry_max: int = 3
+    order_by: str | None = None         # webhook: requests are runs of the order of this unique column
 
 
 class DeliveryError(RuntimeError):
@@ -54,19 +61,31 @@ def write_console(events: DataFrame, spec: OutputSpec, batch_id: int | None = No
 
 
 def _roll_by_bytes(lines: DataFrame, limit: int) -> DataFrame:
-    """Add ``roll``: which of its task's files a line goes to (sizes before compression)."""
+    """Add ``roll``: which of its task's files a line goes to (sizes before compression).
+
+    A file ends before the line that would pass the limit; that depends on
+    where the last file ended, so a task goes through its lines' lengths in
+    their order.  It does so file by file on whole Arrow columns; a window
+    over each task's rows would shuffle all texts for it.
+    """
     def run(batches):
         roll, size = 0, 0
-        for pdf in batches:
-            rolls = []
-            for text in pdf["value"]:
-                n = len(text.encode()) + 1
-                if size and size + n > limit:
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            rolls, at = np.zeros(len(ends), np.int32), 0
+            while at < len(ends):
+                before = int(ends[at - 1]) if at else 0
+                to = int(np.searchsorted(ends, before + limit - size, "right"))
+                if to <= at and not size:
+                    to = at + 1  # a line over the limit has a file of its own
+                rolls[at:to] = roll
+                if to > at:
+                    size += int(ends[to - 1]) - before
+                    at = to
+                if at < len(ends):
                     roll, size = roll + 1, 0
-                size += n
-                rolls.append(roll)
-            yield pdf.assign(roll=rolls)
-    return lines.mapInPandas(run, "value string, roll int")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rolls)], ["value", "roll"])
+    return lines.mapInArrow(run, "value string, roll int")
 
 
 def write_file(events: DataFrame, spec: OutputSpec, batch_id: int | None = None) -> int:
@@ -103,66 +122,80 @@ def write_kafka(events: DataFrame, spec: OutputSpec, batch_id: int | None = None
     return 0
 
 
-def make_http_sinks(transport: deliver.Transport = deliver.http_transport, sleep=None):
-    import time
-    sleep = sleep or time.sleep
-
-    def write_bulk(events: DataFrame, spec: OutputSpec, batch_id: int | None = None) -> int:
-        r = deliver.deliver_bulk(events, spec.url, spec.index, spec.username, spec.password,
-                                 spec.buffer_size if spec.buffer_size > 0 else 1000,
-                                 spec.retry_max if spec.retry_max > 0 else 3, transport, sleep)
-        return int(r["failed_requests"])
-
-    def write_webhook(events: DataFrame, spec: OutputSpec, batch_id: int | None = None) -> int:
-        r = deliver.deliver_webhook(events, spec.url, spec.headers,
-                                    spec.batch_size if spec.batch_size > 0 else 50,
-                                    spec.retry_max if spec.retry_max > 0 else 3, transport, sleep)
+def http_sink(spec: OutputSpec, transport: deliver.Transport, sleep, label: str, ledger: Ledger | None):
+    """``write(events, batch_id)`` that counts the requests given up."""
+    retry_max = spec.retry_max if spec.retry_max > 0 else 3
+
+    def write(events: DataFrame, batch_id: int | None = None) -> int:
+        known = {} if ledger is None else {"ledger": ledger.root, "sink": label,
+                                           "batch": None if batch_id is None else str(batch_id)}
+        if spec.type == "elasticsearch":
+            r = deliver.deliver_bulk(events, spec.url, spec.index, spec.username, spec.password,
+                                     spec.buffer_size if spec.buffer_size > 0 else 1000, retry_max, transport, sleep,
+                                     **known)
+        else:
+            r = deliver.deliver_webhook(events, spec.url, spec.headers, spec.batch_size if spec.batch_size > 0 else 50,
+                                        retry_max, transport, sleep, spec.order_by, **known)
         return int(r["failed_requests"])
 
-    return write_bulk, write_webhook
+    return write
 
 
 Sink = Callable[[DataFrame, int | None], int]
 
 
-def build_sink(spec: OutputSpec, transport: deliver.Transport = deliver.http_transport, sleep=None) -> Sink:
-    """O0: sink by type name."""
-    bulk, webhook = make_http_sinks(transport, sleep)
-    table = {"stdout": write_console, "file": write_file, "kafka": write_kafka,
-             "elasticsearch": bulk, "webhook": webhook}
-    if spec.type not in table:
+def build_sink(spec: OutputSpec, transport: deliver.Transport = deliver.http_transport, sleep=None,
+               label: str | None = None, ledger: Ledger | None = None) -> Sink:
+    """O0: sink by type name; ``label`` names it in the ledger."""
+    table = {"stdout": write_console, "file": write_file, "kafka": write_kafka}
+    if spec.type in ("elasticsearch", "webhook"):
+        sink = http_sink(spec, transport, sleep or time.sleep, label or spec.type, ledger)
+    elif spec.type in table:
+        def sink(events: DataFrame, batch_id: int | None = None) -> int:
+            return table[spec.type](events, spec, batch_id)
+    else:
         raise ValueError(f"output: unknown type {spec.type}")
-    fn = table[spec.type]
-    return lambda df, batch_id=None: fn(df, spec, batch_id)
+    sink.label = label or spec.type
+    return sink
 
 
 def build_all(specs: list[OutputSpec], transport: deliver.Transport = deliver.http_transport,
-              sleep=None) -> list[Sink]:
-    return [build_sink(s, transport, sleep) for s in specs]
+              sleep=None, ledger: Ledger | None = None) -> list[Sink]:
+    return [build_sink(s, transport, sleep, f"{i}-{s.type}", ledger) for i, s in enumerate(specs)]
 
 
 def fan_out(events: DataFrame, sinks: list[Sink], batch_id: int | None = None,
-            on_error: str = "raise") -> int:
+            on_error: str = "raise", ledger: Ledger | None = None, persist: bool = True) -> int:
     """Every event to every sink; returns the number of failed writes.
 
     ``on_error="raise"`` raises after all sinks ran if any write failed,
     failed HTTP requests included (a streaming batch is then replayed from its
     checkpoint); ``"count"`` only counts (the batch is committed, the failed
-    sink loses it, as in the reference).
+    sink loses it, as in the reference).  Sinks that have the batch according
+    to ``ledger`` are passed over.  ``persist=False``: the caller has stored
+    what the events are made of.
     """
-    if len(sinks) > 1:
+    batch = None if ledger is None or batch_id is None else str(batch_id)
+    if batch is not None:
+        sinks = [s for s in sinks if not ledger.done(s.label, batch)]
+    persist = persist and len(sinks) > 1
+    if persist:
         events = events.persist(StorageLevel.MEMORY_AND_DISK)
     errors, first_exc = 0, None
     try:
         for sink in sinks:
             try:
-                errors += int(sink(events, batch_id) or 0)
+                failed = int(sink(events, batch_id) or 0)
+                errors += failed
+                if batch is not None and not failed:
+                    ledger.finish(sink.label, batch)
+                    ledger.forget(sink.label, before=batch_id)
             except Exception as e:  # one sink's failure must not stop the others
                 errors += 1
                 first_exc = first_exc or e
                 log.error("output write: %s", e)
     finally:
-        if len(sinks) > 1:
+        if persist:
             events.unpersist()
     if errors and on_error == "raise":
         raise first_exc or DeliveryError(f"{errors} failed writes")

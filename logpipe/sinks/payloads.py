@@ -72,14 +72,14 @@ def webhook_batches(events: DataFrame, batch_size: int = DEFAULT_WEBHOOK_BATCH,
 
     ``order_by`` fixes the order inside batches (default: the rendered event
     itself, so the result is deterministic).  ``global_order=True`` cuts
-    consecutive runs of the global order (``order_by`` must be unique);
-    otherwise rows are batched inside hash buckets.
+    consecutive runs of the global order (``order_by`` must be unique), for
+    which the events are rendered once, when this is called; otherwise rows
+    are batched inside hash buckets.
     """
     rendered = events.withColumn("_event", event_json())
     order = order_by or ["_event"]
     if global_order:
-        rendered = rendered.select(*dict.fromkeys(order + ["_event"]))
-        batched = assign_global_batches(rendered, batch_size, order, buckets)
+        batched = assign_global_batches(rendered.select(*dict.fromkeys(order + ["_event"])), batch_size, order, buckets)
     else:
         batched = assign_batches(rendered, batch_size, order, buckets)
     first_last = [F.min(F.struct(*[F.col(c) for c in order])).alias("_first"),

@@ -52,10 +52,10 @@ def split_glob(path: str) -> tuple[str, str | None, str | None]:
         return path, None, None
     rest = rest.lstrip("/") or "*"
     base = base.rstrip("/") or ("/" if path.startswith("/") else ".")
-    return base, rest.rsplit("/", 1)[-1].replace("**", "*"), f"/(.*/)?{_glob_regex(rest)}\\z"
+    return base, rest.rsplit("/", 1)[-1].replace("**", "*"), f"/(.*/)?{glob_regex(rest)}\\z"
 
 
-def _glob_regex(glob: str) -> str:
+def glob_regex(glob: str) -> str:
     """A path glob as a Java regex."""
     out, i = "", 0
     while i < len(glob):
@@ -66,7 +66,7 @@ def _glob_regex(glob: str) -> str:
             out, i = out + ".*", i + 2
         elif ch == "{" and "}" in glob[i:]:
             end = glob.index("}", i)
-            out, i = out + "(" + "|".join(_glob_regex(x) for x in glob[i + 1:end].split(",")) + ")", end + 1
+            out, i = out + "(" + "|".join(glob_regex(x) for x in glob[i + 1:end].split(",")) + ")", end + 1
         elif ch == "[" and "]" in glob[i:]:
             end = glob.index("]", i)
             out, i = out + "[" + glob[i + 1:end].replace("!", "^", 1) + "]", end + 1
@@ -79,7 +79,11 @@ def _glob_regex(glob: str) -> str:
 def read_lines(spark: SparkSession, paths, name: str | None = None, *, recursive: bool = False,
                path_glob: str | None = None, stream: bool = False, clean_name: bool = False,
                max_files_per_trigger: int | None = None) -> DataFrame:
-    """One row per line of every matching file, normalised."""
+    """One row per line of every matching file, normalised.
+
+    A stream reads each file once, as a whole; ``follow_lines`` reads what is
+    appended to them, too.
+    """
     if isinstance(paths, str):
         paths = [paths]
     deep = [p for p in paths if "**" in p]
@@ -103,6 +107,25 @@ def read_lines(spark: SparkSession, paths, name: str | None = None, *, recursive
     return normalise(df)
 
 
+def follow_lines(spark: SparkSession, path: str, name: str | None = None, *, clean_name: bool = False,
+                 starting_position: str = "earliest", max_line_length: int | None = None,
+                 max_bytes_per_trigger: int | None = None, state: str | None = None) -> DataFrame:
+    """S3: a streaming line table of growing files (see ``logpipe.sources.tail``), normalised."""
+    from logpipe.sources import tail
+
+    tail.register(spark)
+    options = {"path": path, "startingPosition": starting_position, "maxBytesPerTrigger": max_bytes_per_trigger,
+               "maxLineLength": max_line_length, "stateLocation": state}
+    df = spark.readStream.format(tail.NAME).options(**{k: v for k, v in options.items() if v}).load()
+    if name:
+        label = F.lit(name)
+    else:
+        label = F.element_at(F.split("file_path", "/"), -1)
+        label = F.btrim(label, F.lit("._")) if clean_name else label
+    return normalise(df.select(F.col("value").alias(LINE_RAW), label.alias(LINE_SOURCE),
+                               F.col("file_path").alias(LINE_FILE)))
+
+
 def strip_newlines(raw: Column) -> Column:
     return F.regexp_replace(raw, r"[\r\n]+\z", "")
 
