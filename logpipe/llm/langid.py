@@ -20,8 +20,8 @@ MODEL_WORDS = 40_000
 NGRAM = 5
 #: n-grams kept per length and language, most frequent first.
 MODEL_GRAMS = 40_000
-#: Entries of a table of words or n-grams by languages; with many languages each keeps fewer.
-MODEL_CELLS = 2_000_000
+#: Entries of the table of words, and of n-grams of one length; beyond fifty languages each keeps its even share.
+MODEL_ENTRIES = 2_000_000
 UNKNOWN = "und"
 #: Distinct words whose scores a worker remembers before it starts afresh.
 REMEMBERED = 400_000
@@ -101,6 +101,31 @@ def _most_frequent(counted: DataFrame, groups: list[str], name: str, most: int)
     return counted.join(F.broadcast(cut), groups).where((F.col("n") > F.col("cut")) | ties).drop("cut", "share")
 
 
+class Table:
+    """Log frequencies of names by language, each name with the few languages that have it.
+
+    A count of half stands for none, so a name's row is a common base and, for
+    its own languages, what lies above that.
+    """
+
+    def __init__(self, by_lang: list[Counter]):
+        names = sorted(set().union(*by_lang)) if by_lang else []
+        self.at = dict(zip(names, range(len(names))))
+        self.base = np.log(0.5 / np.array([sum(c.values()) + 0.5 * max(1, len(names)) for c in by_lang]))
+        row = np.array([self.at[x] for c in by_lang for x in c], np.int64)
+        lang = np.array([i for i, c in enumerate(by_lang) for _ in c], np.int32)
+        above = np.log(np.array([n for c in by_lang for n in c.values()], np.float64) * 2 + 1)
+        order = np.argsort(row, kind="stable")
+        self.lang, self.above = lang[order], above[order]
+        self.first = np.r_[0, np.cumsum(np.bincount(row, minlength=len(names)))].astype(np.int64)
+
+    def add(self, rows: np.ndarray, owner: np.ndarray, share: np.ndarray, out: np.ndarray) -> None:
+        """Add to the rows ``owner`` of ``out`` what the names at ``rows`` have above the base, times ``share``."""
+        sizes = self.first[rows + 1] - self.first[rows]
+        at = np.repeat(self.first[rows] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+        np.add.at(out, (np.repeat(owner, sizes), self.lang[at]), self.above[at] * np.repeat(share, sizes))
+
+
 class Model:
     """Log frequencies per language of words and of n-grams inside padded words.
 
@@ -122,28 +147,20 @@ class Model:
                         own[gram] += n
         for lang, k, gram, n in gram_counts or ():
             grams[k][at[lang]][gram] += n
-        self.words = self._logs(words)
-        self.grams = {k: self._logs(g) for k, g in grams.items()}
+        self.words = Table(words)
+        self.grams = {k: Table(g) for k, g in grams.items()}
         self.memory = Memory()  # a worker's; it lasts from task to task
 
-    @staticmethod
-    def _logs(by_lang: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
-        names = [x for x, _ in sorted(sum(by_lang, Counter()).items(), key=lambda x: (-x[1], x[0]))]
-        if not names:
-            return {}, np.zeros((0, len(by_lang)))
-        m = np.array([[c[x] for c in by_lang] for x in names]) + 0.5
-        return dict(zip(names, range(len(names)))), np.log(m / m.sum(axis=0))
-
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row per word: its log frequencies if known, else the mean over its longest n-grams known."""
         out = np.zeros((len(words), len(self.langs)))
-        names, logs = self.words
-        at = [names.get(w, -1) for w in words]
-        known = np.flatnonzero(np.array(at, np.int64) >= 0)
-        out[known] = logs[np.array(at, np.int64)[known]]
-        rest = [i for i, a in enumerate(at) if a < 0]
+        at = np.array([self.words.at.get(w, -1) for w in words], np.int64)
+        known = np.flatnonzero(at >= 0)
+        out[known] = self.words.base
+        self.words.add(at[known], known, np.ones(len(known)), out)
+        rest = np.flatnonzero(at < 0).tolist()
         for k in range(NGRAM, 0, -1):
-            names, logs = self.grams[k]
+            names = self.grams[k].at
             hits, sizes, found, missed = [], [], [], []
             for i in rest:
                 own = [x for x in map(names.get, _grams(words[i], k)) if x is not None]
@@ -154,8 +171,9 @@ class Model:
                 else:
                     missed.append(i)
             if found:
-                starts = np.cumsum([0, *sizes[:-1]])
-                out[found] = np.add.reduceat(logs[hits], starts, axis=0) / np.array(sizes)[:, None]
+                n = np.array(sizes)
+                out[found] = self.grams[k].base
+                self.grams[k].add(np.array(hits), np.repeat(np.array(found), n), np.repeat(1 / n, n), out)
             rest = missed
         return out
 
@@ -198,14 +216,14 @@ class Memory:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           train_docs: int = TRAIN_DOCS, model_words: int = MODEL_WORDS) -> Model:
-    """Learn from about ``train_docs`` documents with a language, picked by a hash of the id.
+    """Learn from about ``train_docs`` documents with a language, picked by a hash of id and text.
 
     A language with less than its even share of those is sampled up to that
     share, so at most about twice as many are read and none is left out.  The
     model holds at most ``model_words`` words and ``MODEL_GRAMS`` n-grams of
-    each length per language (fewer with many languages: ``MODEL_CELLS``), so
-    it can be broadcast whatever the size of the corpus.  Rows without text or
-    language teach nothing.
+    each length per language (its even share of ``MODEL_ENTRIES`` with very
+    many languages), so it can be broadcast whatever the size of the corpus.
+    Rows without text or language teach nothing.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"),
@@ -218,14 +236,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         share = docs.sparkSession.createDataFrame(
             [(lang, math.ceil((1 << 20) * max(train_docs / n, even / own))) for lang, own in per_lang.items()],
             "lang string, share long")
-        known = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share"))
+        known = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id", "t"), F.lit(1 << 20)) < F.col("share"))
     counted = known.select("lang", "t").mapInArrow(_count_words, "lang string, word string, n long")
     counted = store(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    cells = MODEL_CELLS // max(1, len(per_lang)) ** 2 + 1
-    top = _most_frequent(counted, ["lang"], "word", min(model_words, cells)).toArrow()
+    entries = MODEL_ENTRIES // max(1, len(per_lang)) + 1
+    top = _most_frequent(counted, ["lang"], "word", min(model_words, entries)).toArrow()
     grams = counted.mapInArrow(_count_grams, "lang string, k int, gram string, n long")
     grams = store(grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")))
-    grams = _most_frequent(grams, ["lang", "k"], "gram", min(MODEL_GRAMS, cells)).toArrow()
+    grams = _most_frequent(grams, ["lang", "k"], "gram", min(MODEL_GRAMS, entries)).toArrow()
     counts, gram_counts = (list(zip(*(t.column(c).to_pylist() for c in names)))
                            for t, names in ((top, ("lang", "word", "n")), (grams, ("lang", "k", "gram", "n"))))
     totals: Counter = Counter()

@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a source's budget that are left to dynamic programming.
 FIT_WORDS = 1 << 16
 #: Rows of one source and length that are ranked in one group.
-RANK_ROWS = 1000
+RANK_ROWS = 200
 #: Buckets that a larger group is dealt to at once.
 BUCKETS = 1024
 #: Rows (of at most 64 bytes) up to which a side of a join is broadcast.

@@ -208,11 +208,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = simhash_groups(docs, id_col, text_col, shingle, distance)
     kept = groups.groupBy("root").agg(
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("k"))
-    kept = kept.select(F.col("k.id").alias("__kept_id"), F.col("k.text_hash").alias("__kept_hash")).distinct()
-    rows = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    return (rows.join(kept, rows[id_col].eqNullSafe(kept["__kept_id"])
-                      & (rows["__text_hash"] == kept["__kept_hash"]), "left_semi")
-            .dropDuplicates([id_col, "__text_hash"]).drop("__text_hash"))
+    kept = kept.select("k.id", "k.text_hash").distinct()
+    # the document stays in one piece: its columns may be called anything
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_hash"))
+    near = rows["own_id"].eqNullSafe(kept["id"]) & (rows["own_hash"] == kept["text_hash"])
+    return rows.join(kept, near, "left_semi").dropDuplicates(["own_id", "own_hash"]).select("doc.*")
 
 
 def hex_fingerprint(fp="fp"):

@@ -12,19 +12,18 @@ masked as (select row_id, doc_id, ln, line, {_MASKED} as m from lines),
 uniq as (select distinct row_id, doc_id, m, string_split(m, ' ') as t from masked where m <> ''),
 keyed as (select row_id, doc_id, m, t, len(t) as n, array_to_string(t[1:3], ' ') as lead from uniq),
 leaf as (select n, lead from keyed group by n, lead having count(*) >= 10),
-shared as (select n, lead, m, t, count(*) as docs, min(doc_id) as first_id
-           from keyed join leaf using (n, lead) group by n, lead, m, t),
-tokens as (select n, lead, m, docs, generate_subscripts(t, 1) as pos, unnest(t) as token from shared),
+own as (select keyed.* from keyed join leaf using (n, lead)),
+tokens as (select row_id, n, lead, m, generate_subscripts(t, 1) as pos, unnest(t) as token from own),
 held as (select n, lead, pos, token from tokens where token <> '<*>'
-         group by n, lead, pos, token having sum(docs) >= 10),
+         group by n, lead, pos, token having count(distinct row_id) >= 10),
 kept as (select n, lead, m, count(*) as n_fixed,
                 string_agg(pos || ':' || token, ' ' order by pos) as template
-         from tokens join held using (n, lead, pos, token) group by n, lead, m),
-good as (select n, lead, m, template, docs, first_id from shared join kept using (n, lead, m)
+         from (select distinct n, lead, m, pos, token from tokens) join held using (n, lead, pos, token) group by n, lead, m),
+good as (select row_id, doc_id, n, lead, m, template from own join kept using (n, lead, m)
          where n_fixed >= 0.7 * n),
-recurring as (select n, lead, template, min(first_id) as keeper from good
-              group by n, lead, template having sum(docs) >= 10),
-dropped as (select m, keeper from good join recurring using (n, lead, template)),
+recurring as (select n, lead, template, min(doc_id) as keeper from good
+              group by n, lead, template having count(distinct row_id) >= 10),
+dropped as (select distinct m, keeper from good join recurring using (n, lead, template)),
 marked as (select row_id, ln, line, masked.m,
                   dropped.m is not null and dropped.keeper is distinct from masked.doc_id as goes
            from masked left join dropped on masked.m = dropped.m),

@@ -22,23 +22,26 @@ def mask(line):
 
 
 def slow_line_dedup(rows, depth, least, share):
-    lines = [(i, m) for i, t in rows if t is not None for m in {mask(x) for x in t.split("\n")} - {""}]
+    lines = [(r, i, m) for r, (i, t) in enumerate(rows) if t is not None for m in {mask(x) for x in t.split("\n")} - {""}]
     leaves = collections.defaultdict(list)
-    for i, m in lines:
+    for r, i, m in lines:
         tokens = m.split(" ")
-        leaves[len(tokens), tuple(tokens[:depth])].append((i, m, tokens))
+        leaves[len(tokens), tuple(tokens[:depth])].append((r, i, m, tokens))
     keeper = {}
     for members in leaves.values():
-        support = collections.Counter((p, t) for _, _, tokens in members for p, t in enumerate(tokens) if t != "<*>")
+        support = collections.defaultdict(set)
+        for r, _, _, tokens in members:
+            for place in enumerate(tokens):
+                support[place].add(r)
         groups = collections.defaultdict(list)
-        for i, m, tokens in members:
-            fixed = tuple((p, t) for p, t in enumerate(tokens) if t != "<*>" and support[p, t] >= least)
+        for r, i, m, tokens in members:
+            fixed = tuple((p, t) for p, t in enumerate(tokens) if t != "<*>" and len(support[p, t]) >= least)
             if len(fixed) >= share * len(tokens):
-                groups[fixed].append((i, m))
+                groups[fixed].append((r, i, m))
         for own in groups.values():
-            if len(own) >= least:
-                ids = [i for i, _ in own if i is not None]
-                for _, m in own:
+            if len({r for r, _, _ in own}) >= least:
+                ids = [i for _, i, _ in own if i is not None]
+                for _, _, m in own:
                     keeper[m] = min(ids) if ids else None
     out = []
     for i, t in rows:
@@ -64,6 +67,10 @@ def test_line_dedup(docs_of, words, monkeypatch, small):
         if i % 3:
             lines += ["", "Subscribe to our letter now", "Subscribe to our letter now"]
         rows.append((i, "\n".join(lines)))
+    variants = ["we met at the old red door of " + w for w in words(60, 5)]
+    rows += [(200, "\n".join(variants)), (201, "\n".join(variants[:30]))]  # many variants, but in two documents
+    rows += [(210 + i, f"sold by {words(1, 900 + i)[0]} in the town hall of ours") for i in range(8)]
+    rows += [(220, "\n".join(f"kept by {w} in the back room of ours" for w in words(9, 6)))] * 4  # repeated rows are documents
     rows += [(100, None), (101, ""), (102, "\n\n"), (None, "All rights reserved 7."), (103, rows[1][1]), (1, rows[1][1]),
              (104, " ".join(words(30_000, 1)) + "\nSubscribe to our letter now")]
     df = docs_of(rows)
@@ -74,6 +81,10 @@ def test_line_dedup(docs_of, words, monkeypatch, small):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sum(w[3] for w in want) > 60
     assert linededup.line_dedup(df.where("false")).count() == 0
+    clash = df.withColumn("_n_lines", F.lit("x")).withColumn("_n_dropped", F.lit("y"))
+    same = linededup.line_dedup(clash, min_docs=5)
+    assert same.columns == [*df.columns, "_n_lines", "_n_dropped"]
+    assert sorted(((r["doc_id"], r["text"], r["_n_lines"], r["_n_dropped"]) for r in same.collect()), key=str) == sorted(want, key=str)
     alone = docs_of([(None, "same old line")] * 12)
     assert {r["text"] for r in linededup.line_dedup(alone).collect()} == {"same old line"}
 
@@ -88,7 +99,7 @@ def test_registered_sql(spark, name):
     if not os.path.exists(f"{SF_DIR}/documents.parquet"):
         pytest.skip("test data not present")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_DIR}/{t}.parquet')")
     res = con.execute(queries.ORACLE_SQL[name])
     cols = [c[0] for c in res.description]
@@ -99,7 +110,7 @@ def test_registered_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if re.match(r"op\d+_", x)}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if re.match(r"op\d+_", x)}
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
 
 
@@ -142,3 +153,26 @@ def test_pipeline_over_planted_documents(spark, words, tmp_path):
     library = vocabulary.library(tokenizer("word_bpe_49k.json"))
     for r in pieces:
         assert r["length"] == len(library.encode(texts[r["doc_id"]]["text"], add_special_tokens=False).ids) + 1
+
+
+def test_pipeline_with_clashing_names_and_without_rows(spark, words, tmp_path):
+    """Extra columns keep their names and values in every stage; an empty table passes through all of them."""
+    clash = ["_n_lines", "_n_dropped", "__text_hash", "__kept_id", "__kept_hash", "n_lines", "kept", "going", "row", "hash",
+             "doc", "lang_pred", "score", "_held_out", "held_out", "contaminated", "n_words", "root", "t", "x", "m", "id", "key"]
+    rows = [(i, " ".join(words(70, i % 20)) + "\nAll rights reserved 2024.", "xx", "s", 1) for i in range(24)]
+    rows += [(None, None, None, None, None), (3, rows[3][1], "xx", "s", 1), (50, "", "xx", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in clash})
+    spark.createDataFrame([(1, "no such words at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, table in (("some", df), ("none", df.where("false"))):
+        docs = table
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.schema.names == df.schema.names, stage_name
+            docs.write.parquet(f"{tmp_path}/{name}-{stage_name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{stage_name}")
+        out = docs.collect()
+        assert sorted(r["doc_id"] for r in out) == (list(range(20)) if name == "some" else [])
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in out for c in clash)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert len(pieces.collect()) == len(out)

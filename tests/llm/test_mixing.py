@@ -59,7 +59,7 @@ def make(spark, rows, partitions=3):
     return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in clash}).repartition(partitions)
 
 
-@pytest.mark.parametrize("rank_rows,buckets", [(1000, 1024), (5, 3)])
+@pytest.mark.parametrize("rank_rows,buckets", [(200, 1024), (5, 3)])
 def test_mix(spark, monkeypatch, rank_rows, buckets):
     monkeypatch.setattr(mixing, "RANK_ROWS", rank_rows)
     monkeypatch.setattr(mixing, "BUCKETS", buckets)

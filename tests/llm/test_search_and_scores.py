@@ -184,7 +184,60 @@ def test_rare_languages_keep_words_and_grams(spark, monkeypatch):
     assert m.langs == ["aa", "bb"]
     assert [x for x, _ in m.predict(["kalomi", "lomika", "zuaterk", "terzu"])] == ["bb", "bb", "aa", "aa"]
     # n-grams of words that are not kept are known as well
-    assert "zuh" in m.grams[3][0] and len(m.words[0]) > 2
+    assert "zuh" in m.grams[3].at and len(m.words.at) > 2
+
+
+def slow_language(rows, text):
+    """(language, share of the likelihood) straight from the definition, without any cut."""
+    words = {lang: Counter(w for _, t, x in rows if x == lang for w in langid.words_of(t)) for lang in sorted({r[2] for r in rows})}
+
+    def logs(tables, name):
+        size = len(set().union(*tables.values()))
+        return [math.log((c[name] + 0.5) / (sum(c.values()) + 0.5 * size)) for c in tables.values()]
+
+    grams = {}
+    for k in range(1, 6):
+        grams[k] = {lang: Counter() for lang in words}
+        for lang, own in words.items():
+            for w, n in own.items():
+                for g in langid._grams(w, k):
+                    grams[k][lang][g] += n
+    total = np.zeros(len(words))
+    for w in langid.words_of(text):
+        if any(c[w] for c in words.values()):
+            total += logs(words, w)
+            continue
+        for k in range(5, 0, -1):
+            known = [g for g in langid._grams(w, k) if any(c[g] for c in grams[k].values())]
+            if known:
+                total += np.mean([logs(grams[k], g) for g in known], axis=0)
+                break
+    return list(words)[int(np.argmax(total))], float(1 / np.exp(total - total.max()).sum())
+
+
+def test_scores_of_a_hundred_languages(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        lang = f"l{i % 100:02d}"
+        own = random.Random(lang)
+        vocabulary = ["".join(own.choices("abcdeklmnort", k=own.randint(2, 7))) for _ in range(30)]
+        rows.append((i, " ".join(rng.choices(vocabulary, k=25)), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert len(model.langs) == 100
+    texts = [rows[5][1], "abc dek", "karton elbarto", rows[77][1][:9], "mno " + rows[99][1][3:20], "12 qqq"]
+    for text, (lang, score) in zip(texts, model.predict(texts)):
+        want = slow_language(rows, text)
+        assert lang == want[0] and score == pytest.approx(want[1])
+
+
+def test_sampling_does_not_hang_on_the_id(spark):
+    rows = [(None, f"ka{i} lo mi", "aa") for i in range(400)] + [(7, f"zu{i} ter", "bb") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(df, train_docs=100)
+    read = sum(n for n in np.exp(m.words.above[m.words.first[m.words.at["lo"]]:][:1]))
+    assert 20 < (read - 1) / 2 < 90  # about fifty of four hundred rows of one NULL id
 
 
 # ------------------------------------------------------------------ quality
