@@ -19,29 +19,53 @@ from logpipe.session import checkpoint_root
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; texts without letters and undecided ones go."""
+    """Documents whose language is found; texts without letters and undecided ones go.
+
+    NULL texts have no letters.  Repeated rows share one fate; without any
+    labelled row nothing can be found and all go; an empty table stays empty.
+    Columns come back as they were, whatever their names.
+    """
     return langid.drop_unidentified(docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; ``n_chars`` follows the text."""
-    out = linededup.line_dedup(docs)
-    n_chars = F.when(F.col("_n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Documents without recurring lines; ``n_chars`` follows a text that changed.
+
+    NULL texts stay NULL.  Of the documents that share a line the one with the
+    smallest id keeps it; repeated rows have one id and keep it together.  A
+    document may end up with an empty text, none is dropped; an empty table
+    stays empty.  Other columns come back as they were, whatever their names.
+    """
+    return linededup.drop_recurring_lines(docs, length_col="n_chars")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates (four words, four bits)."""
+    """One document of each group of SimHash near-duplicates (four words, four bits): the smallest id.
+
+    NULL and empty texts are one group (fingerprint zero).  Ids that are NULL
+    come after all others; of repeated rows one stays, of equal ids with
+    different texts the smaller text hash.  An empty table stays empty;
+    columns come back as they were, whatever their names.
+    """
     return simhash.keep_one(docs, shingle=4, distance=4)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark.
+
+    NULL texts have no words and stay; repeated rows share one fate; an empty
+    table or an empty benchmark changes nothing.  Columns come back as they
+    were, whatever their names.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents' pieces in sequences of 4096 tokens."""
+    """The remaining documents' pieces in sequences of 4096 tokens.
+
+    NULL and empty texts are an end token alone; repeated rows and ids are
+    packed as they come; an empty table gives no pieces.
+    """
     return pack.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
