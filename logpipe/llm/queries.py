@@ -31,10 +31,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the bytes that 400-byte repeats cover, as digests."""
+    """All documents without the bytes that 400-byte repeats cover, as digests and as text.
+
+    A cut may leave part of a character; the text has U+FFFD there, the digest is of the bytes.
+    """
     out = substrings.substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
-                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
