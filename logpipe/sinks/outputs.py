@@ -177,7 +177,7 @@ def fan_out(events: DataFrame, sinks: list[Sink], batch_id: int | None = None,
     """
     batch = None if ledger is None or batch_id is None else str(batch_id)
     if batch is not None:
-        sinks = [s for s in sinks if not ledger.done(s.label, batch)]
+        sinks = [s for s in sinks if not (hasattr(s, "label") and ledger.done(s.label, batch))]
     persist = persist and len(sinks) > 1
     if persist:
         events = events.persist(StorageLevel.MEMORY_AND_DISK)
@@ -187,7 +187,7 @@ def fan_out(events: DataFrame, sinks: list[Sink], batch_id: int | None = None,
             try:
                 failed = int(sink(events, batch_id) or 0)
                 errors += failed
-                if batch is not None and not failed:
+                if batch is not None and not failed and hasattr(sink, "label"):
                     ledger.finish(sink.label, batch)
                     ledger.forget(sink.label, before=batch_id)
             except Exception as e:  # one sink's failure must not stop the others
