@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from logpipe.session import write_once
 
 BUCKET, BATCH, SEQ = "_bucket", "_batch", "_seq"
-#: Rows of one key range of global batches.
+#: Rows of one key range of global batches; more where there would be over ``MOST_RANGES``, whose ends the driver holds.
 RANGE_ROWS = 50_000
+MOST_RANGES = 20_000
 _FAN = 16  # branches of a node in the search for a key's range
 
 
@@ -93,16 +94,16 @@ def assign_global_batches(df: DataFrame, batch_size: int, order_by: list[str],
         raise ValueError("global batching orders by one unique column")
     key, rows = order_by[0], write_once(df)
     n = rows.count()
-    per_range = -(-n // partitions) if partitions else RANGE_ROWS
+    per_range = -(-n // partitions) if partitions else max(RANGE_ROWS, -(-n // MOST_RANGES))
     per_range = max(1, per_range // batch_size) * batch_size
     ranges = -(-n // per_range)
     bounds = _range_ends(rows.select(key), key, per_range, ranges) if ranges > 1 else []
     pos = F.row_number().over(Window.partitionBy(BUCKET).orderBy(key)) - 1
-    placed = _add_range(rows, key, bounds).withColumnRenamed("_range", BUCKET).withColumn("_pos", pos)
-    rank = F.col(BUCKET).cast("bigint") * per_range + F.col("_pos")
+    ranged = _add_range(rows, key, bounds)
+    placed = ranged.withColumn(BUCKET, F.col("_range").cast("bigint")).drop("_range").withColumn("_pos", pos)
+    rank = F.col(BUCKET) * per_range + F.col("_pos")
     return (placed.withColumn(BATCH, F.floor(rank / F.lit(batch_size)).cast("bigint"))
-                  .withColumn(SEQ, (F.col("_pos") % F.lit(batch_size)).cast("int"))
-                  .withColumn(BUCKET, F.col(BUCKET).cast("bigint")).drop("_pos"))
+                  .withColumn(SEQ, (F.col("_pos") % F.lit(batch_size)).cast("int")).drop("_pos"))
 
 
 def _range_ends(keys: DataFrame, key: str, per_range: int, ranges: int) -> list:

@@ -54,3 +54,14 @@ def test_global_batches_are_deterministic(spark):
     rb = sorted((r["k"], r["_batch"], r["_seq"]) for r in b.collect())
     assert ra == rb
     assert all(batch == k // 50 and seq == k % 50 for k, batch, seq in ra)
+
+
+def test_global_webhook_batches_parse_once_and_shuffle_rows_once(spark):
+    from logpipe.operators.parse import parse
+    from logpipe.sinks.payloads import webhook_batches
+    events = parse(lines_df(spark, ['{"msg":"m%d"}' % i for i in range(500)], "svc"), "json")
+    batches = webhook_batches(events, 50, order_by=["line_id"], global_order=True)
+    text = plan_text(batches)
+    # the events were rendered into a file before; ranges of the key are the only exchange
+    assert "Generate" not in text and "FileScan parquet" in text and text.count("Exchange") == 1
+    assert sorted(r["batch"] for r in batches.collect()) == list(range(10))
