@@ -44,7 +44,7 @@ def main() -> None:
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `scripts/explain_plans.py` on `{sf_dir}` (local[8], AQE off to show codegen).")
-    print("`O5_webhook` broadcasts its per-range offset table (one row per range).\n")
+    print("`O5_webhook` reads the events it has rendered once; up to 50,000 rows are one range of its key.\n")
     print("| Query | Exchanges | # | Parse stages (Generate) | Codegen'd operators | Broadcast | Scan columns |")
     print("|---|---|---|---|---|---|---|")
     flagship = None
