@@ -67,9 +67,10 @@ def near_words(words: DataFrame) -> DataFrame:
 
     own = F.col("length")
     one_edit = F.levenshtein("a", "b", 1) == 1
-    same = rows("same", SAME_PARTS, 2, own, "a").join(rows("same", SAME_PARTS, 2, own, "b"), "key").where(
+    # both sides have several rows a word, which Spark does not count in: it would broadcast far more than it believes
+    same = rows("same", SAME_PARTS, 2, own, "a").join(rows("same", SAME_PARTS, 2, own, "b").hint("merge"), "key").where(
         (F.col("a") < F.col("b")) & one_edit)
-    longer = rows("next", NEXT_PARTS, 1, own, "a").join(rows("next", NEXT_PARTS, 1, own - 1, "b"), "key").where(
+    longer = rows("next", NEXT_PARTS, 1, own, "a").join(rows("next", NEXT_PARTS, 1, own - 1, "b").hint("merge"), "key").where(
         (F.char_length("a") < F.char_length("b")) & one_edit)
     order = ("a", "b", "a_n", "b_n")
     pairs = store(same.select(*order).union(longer.select(*order)).distinct())
@@ -91,7 +92,7 @@ def variant_groups(words: DataFrame, factor: int = 5) -> DataFrame:
     best = near.groupBy(F.col("a").alias("word")).agg(
         F.count(F.lit(1)).alias("n_near"),
         F.min(F.struct((-F.col("b_n")).alias("less"), F.col("b").alias("form"))).alias("best"))
-    joined = words.join(best, "word", "left")
+    joined = words.join(best.hint("merge"), "word", "left")
     is_form = -F.col("best.less") >= factor * F.col("n")
     formed = store(joined.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -120,4 +121,5 @@ def _roots(steps: DataFrame) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast by its rows, or not at all: files of words are much smaller than their rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")

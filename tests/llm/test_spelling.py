@@ -56,6 +56,25 @@ def test_repeated_words_add_up_and_empty(spark):
     assert spelling.variant_groups(df.where("false")).count() == 0
 
 
+def test_only_counted_rows_are_broadcast(spark, monkeypatch):
+    """Signatures and pairs, of which Spark believes too little, are shuffled; counted rows are broadcast up to the limit."""
+    plans, store = [], spelling.store
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(spelling, "store", planned)
+    df = spark.createDataFrame([(w, 5 ** i) for i, w in enumerate(["abcdef", "abcdeg", "abcde", "xyzxyz"])], "word string, n long")
+    for small, broadcasts in ((0, 0), (200_000, 1)):
+        monkeypatch.setattr(spelling, "BROADCAST_ROWS", small)
+        plans.clear()
+        out = spelling.variant_groups(df)
+        plans.append(out._jdf.queryExecution().sparkPlan().toString())
+        assert sum("SortMergeJoin" in p for p in plans) >= 2
+        assert all("Broadcast" not in p for p in plans[:5]) and ("Broadcast" in plans[-1]) == bool(broadcasts)
+
+
 def slow_words(docs):
     counts = {}
     for i, text in docs:
